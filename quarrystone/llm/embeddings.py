@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..ship import ship
 from .common import checkpointed, connected_components
 
 #: Vectors of a block: tiles of BLOCK x BLOCK products.
@@ -87,6 +88,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
     Equal vectors are compared once and counted with their number.  Null, empty, zero or
     non-finite vectors, and those of another length, link with nothing.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), usable("embedding", True).alias("ok"))
     good = rows.where("ok")
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where("node is not null")
@@ -187,6 +189,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
     components take no part; vectors of another length than the query's aren't compared.  Repeated
     candidate rows count once each.
     """
+    ship(vectors.sparkSession)
     rows = vectors.where(usable("embedding", False) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"), is_query.alias("is_query"))
     shards, groups = (max(1, math.ceil(n / m)) for n, m in zip(rows.agg(F.count("*"), F.count_if("is_query")).first(), (shard, QUERIES), strict=True))
     spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")

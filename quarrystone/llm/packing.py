@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..ship import ship
+
 CAPACITY = 2048
 #: Tokens packed together; more of them give better balance, fewer less memory.
 BLOCK_TOKENS = 1 << 20
@@ -157,4 +159,5 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_t
         if ids:
             yield flush()
 
+    ship(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)

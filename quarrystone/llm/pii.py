@@ -152,9 +152,12 @@ def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
     def step(acc: Column, s: Column) -> Column:
         own = F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         free = s["start"] >= acc["at"]
-        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, own).otherwise(acc["out"]).alias("out"))
+        longer = acc["n"] + s["start"] - acc["at"] + F.char_length(s["kind"]) + 2
+        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, own).otherwise(acc["out"]).alias("out"), F.when(free, longer).otherwise(acc["n"]).alias("n"))
 
-    whole = F.aggregate("__pii", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.char_length(t))))
-    new = F.when(F.size("__pii") > 0, whole).otherwise(F.col(text))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.lit(0).cast("long").alias("n"))
+    whole = F.aggregate("__pii", zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.char_length(t))).alias("text"), (acc["n"] + F.char_length(t) - acc["at"]).alias("n")))
+    done = found.withColumn("__new", F.when(F.size("__pii") > 0, whole))
+    new, size = F.coalesce("__new.text", text), F.coalesce("__new.n", F.length(F.col(text)))
     kind = documents.schema
-    return found.select(*(new.alias(c) if c == text else F.length(new).cast(kind[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
+    return done.select(*(new.alias(c) if c == text else size.cast(kind[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
