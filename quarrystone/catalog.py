@@ -21,7 +21,7 @@ from .functions import cdc, codecs, scalars
 from .operators import audit, blocks, coalesce, dedup, dml, gc, namespace, packs, reads, snapshots
 from .plans import repack, stats, write_path
 from .ship import ship
-from .sources import tables
+from .sources import bootstrap, tables
 from .sources.store import BLOCK, FILE0, PACKS, PRELUDE, Store
 from .streaming import writes
 
@@ -790,6 +790,12 @@ def d13_rmdir(s):
     return dml.rmdir(s.dirents.unionByName(hollow), s.inodes, 1, "hollow").agg(F.count("*").alias("names"))
 
 
+@query("SELECT ino, kind, size FROM inodes UNION ALL SELECT 30000000 + doc_id, 3, 8 + octet_length(encode(CAST(doc_id AS VARCHAR))) FROM documents WHERE doc_id % 70 = 5")
+def d14_symlink(s):
+    new = s.documents.where("doc_id % 70 = 5").selectExpr("1L as parent", "'to-' || doc_id as name", "30000000 + doc_id as ino", "'target: ' || doc_id as target")
+    return dml.symlink(s.dirents, s.inodes, s.symlinks, new, 5)[1].select("ino", "kind", "size")
+
+
 @query("SELECT parent, CASE WHEN parent = 1 AND name = 'de' THEN 'deutsch' ELSE name END AS name, ino FROM dirents")
 def d15_rename(s):
     return dml.rename(s.dirents, (1, "de"), (1, "deutsch")).select("parent", "name", "ino")
@@ -834,6 +840,16 @@ def d32_truncate(s):
     return reads.truncate(s.inodes, s.extents.select("ino", "block_idx", "hash"), payloads, new, BLOCK)
 
 
+@query("SELECT * FROM (VALUES ('inodes', 2), ('dirents', 1), ('extents', 0), ('chunks', 0), ('sys', 5)) AS t(name, n)", prelude=False)
+def m10_bootstrap(s):
+    made = bootstrap.bootstrap(s.spark, 0)
+    parts = [made[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("inodes", "dirents", "extents", "chunks", "sys")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # Plans -------------------------------------------------------------------------------------------
 
 

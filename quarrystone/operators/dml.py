@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import KIND_DIR, KIND_FILE
+from ..config import KIND_DIR, KIND_FILE, KIND_SYMLINK
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,6 +68,13 @@ def link(dirents: DataFrame, inodes: DataFrame, new: DataFrame) -> tuple[DataFra
     return dirents.unionByName(rows), inodes.join(more, "ino", "left").withColumn("nlink", F.col("nlink") + F.coalesce("__more", F.lit(0))).drop("__more").select(*inodes.columns)
 
 
+def symlink(dirents: DataFrame, inodes: DataFrame, symlinks: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Adds (parent, name, ino, target); a link's size is its target's length in bytes."""
+    made = new.select("ino", F.lit(KIND_SYMLINK).alias("kind"), F.lit(0o777).alias("perm"), F.lit(0).cast("bigint").alias("uid"), F.lit(0).cast("bigint").alias("gid"), F.lit(1).cast("bigint").alias("nlink"), F.octet_length("target").cast("bigint").alias("size"), F.lit(now).cast("bigint").alias("mtime"), F.lit(0).alias("flags"))
+    names = new.select("parent", "name", "ino", F.lit(KIND_SYMLINK).alias("kind"))
+    return dirents.unionByName(names), inodes.unionByName(made), symlinks.unionByName(new.select("ino", "target"))
+
+
 def set_attributes(inodes: DataFrame, changes: DataFrame) -> DataFrame:
     """Inodes with what ``changes`` (ino, perm, uid, gid, mtime) has not null."""
     new = changes.select("ino", *(F.col(c).alias(f"__{c}") for c in ("perm", "uid", "gid", "mtime")))
