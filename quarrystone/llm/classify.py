@@ -19,9 +19,9 @@ from .common import map_arrow
 from .words import string_buffers
 
 #: Labelled rows the quality network is fitted on, at most; those with the least hash of doc_id.
-QUALITY_ROWS = 1500
+QUALITY_ROWS = 4000
 #: Rows per language that the language network is fitted on, at most.
-LANGUAGE_ROWS = 250
+LANGUAGE_ROWS = 500
 #: A text is predicted to be good from this score on.
 ACCEPT = 0.7
 #: Texts scored at once.
@@ -67,7 +67,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = QUALITY_ROW
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 1.0
     net = ConvNet.random(widths=(4,), filters=24, hidden=16, classes=2, blocks=8, step=7, per_chunk=False, seed=1)
-    return net.fit(*_packed([r.text for r in got]), y, epochs=12, batch=32, rate=0.01, seed=2)
+    return net.fit(*_packed([r.text for r in got]), y, epochs=10, batch=32, rate=0.01, seed=2)
 
 
 def quality_scores(df: DataFrame, model: ConvNet | float, text: str = "text", score: str = "score") -> DataFrame:
