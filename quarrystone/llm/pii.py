@@ -19,8 +19,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Added kinds: account numbers with two check digits, and numbers that context must support.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Characters that may not stand next to a span of an added kind.
+TOUCH = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
 BASE = ("email", "ip", "card", "phone")
 #: What a text needs for the kind to be looked for at all: a cheap test before the pattern.
@@ -28,7 +30,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn
 
 #: Code points before and after a span in which words count, those words, and what they add.
 NEAR = 40
-WORDS = {"email": "mail|contact|write", "ip": r"\bip\b|address|host|server", "card": "card|visa|master|amex|credit|pay", "phone": "phone|call|tel|mobile|fax", "iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security"}
+WORDS = {"email": "mail|contact|write", "ip": "address|host|server", "card": "card|visa|master|amex|credit|pay", "phone": "phone|call|tel|mobile|fax", "iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security"}
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.4}
 CONTEXT, MIN_SCORE = 0.2, 0.6
 
@@ -96,6 +98,9 @@ def spans_of(text: Column, kind: str) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
         ok = x["hit"].isNotNull() & F.when(x["hit"].isNotNull(), confirmed(kind, x["hit"])).otherwise(False)
+        if kind in TOUCH:
+            beside = F.concat(F.substring(text, start.cast("int"), F.when(start > 0, 1).otherwise(0)), F.substring(text, end.cast("int") + 1, F.lit(1)))
+            ok = ok & ~beside.rlike(TOUCH[kind])
         one = F.struct(start.cast("long").alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), F.lit(0.0).alias("score"))
         return F.struct(end.cast("long").alias("at"), F.when(ok, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
@@ -134,11 +139,11 @@ def is_kind(kind: str):
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, top_score) for each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
     found = with_spans(documents.select("doc_id", "text"), column="__pii").select("doc_id", "__pii")
     base = F.filter("__pii", lambda s: s["k"] < len(BASE))
     count = [F.size(F.filter("__pii", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__pii")).alias("spans"), F.array_max(F.transform("__pii", lambda s: s["score"])).alias("top_score"))
+    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__pii")).alias("spans"))
 
 
 def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -161,3 +166,37 @@ def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
     new, size = F.coalesce("__new.text", text), F.coalesce("__new.n", F.length(F.col(text)))
     kind = documents.schema
     return done.select(*(new.alias(c) if c == text else size.cast(kind[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
+
+
+def oracle_sql() -> str:
+    """The digests of every row of ``documents`` in DuckDB's SQL."""
+    rules = {  # the base patterns without possessive repeats and look-behinds, which this engine neither has nor needs
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": PHONE,
+        "iban": IBAN,
+        "ssn": SSN,
+    }
+    code = "CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END"
+    ok = {
+        "email": "true",
+        "ip": "len([p for p in string_split(m, '.') if length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255']) = 0",
+        "card": "length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN k % 2 = 1 THEN CAST(reverse(d)[k] AS INTEGER) ELSE CAST(reverse(d)[k] AS INTEGER) * 2 - CASE WHEN CAST(reverse(d)[k] AS INTEGER) > 4 THEN 9 ELSE 0 END END for k in range(1, length(d) + 1)]) % 10 = 0",
+        "phone": "length(d) BETWEEN 9 AND 15",
+        "iban": f"length(w) BETWEEN 15 AND 34 AND list_reduce([0] || [{code} for c in string_split(substr(w, 5) || substr(w, 1, 4), '')], lambda acc, x: (acc * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1 AND NOT regexp_matches(beside, '{TOUCH['iban']}')",
+        "ssn": f"NOT regexp_matches(m, '^(000|666|9)') AND NOT regexp_matches(m, '-00-|-0000$') AND NOT regexp_matches(beside, '{TOUCH['ssn']}') AND regexp_matches(around, '{WORDS['ssn']}')",
+    }
+    parts = []
+    for n, (kind, rule) in enumerate(rules.items()):
+        parts.append(f"""
+SELECT * FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, a, a + length(m) AS e, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS w,
+  CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END || substr(t, a + length(m) + 1, 1) AS beside, lower(substr(t, greatest(a - {NEAR}, 0) + 1, least(a, {NEAR})) || ' ' || substr(t, a + length(m) + 1, {NEAR})) AS around
+  FROM (SELECT doc_id, t, ms[i] AS m, CAST(list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS BIGINT) AS a
+    FROM (SELECT doc_id, t, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{rule}') AS ms, string_split_regex(t, '{rule}') AS gaps FROM t)))) WHERE {ok[kind]}""")
+    told = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, {told} FILTER (k < {len(BASE)}) AS base, {told} AS spans FROM found GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g ON g.doc_id = t.doc_id"""

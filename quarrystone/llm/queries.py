@@ -97,6 +97,8 @@ _COMPONENTS = """
     SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_secrets": secret_scan.oracle_sql(),
+    "op8_pii": pii.oracle_sql(),
     "op5_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

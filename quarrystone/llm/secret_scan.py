@@ -19,7 +19,7 @@ from .common import map_arrow
 from .words import string_buffers
 
 #: Changes with RULES: a blob scanned by other rules counts as unseen.
-RULE_VERSION = "2"
+RULE_VERSION = "1"
 
 # Base kinds in listed order, each with its least length.
 BASE = {
@@ -30,9 +30,9 @@ BASE = {
 #: Kinds of our own: private key headers, tokens with a vendor's prefix, JSON web tokens, credentials in URLs.
 ADDED = {
     "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    "prefixed": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
-    "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "url": re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    "prefixed": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", re.A),
+    "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A),
+    "url": re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20:/@]{1,64}:[^\x00-\x20:/@]{3,64}@", re.A),
 }
 ORDER = {k: n for n, k in enumerate([*BASE, *ADDED])}
 #: A text without any of these byte strings (lower case) has no match of the kind.
@@ -103,3 +103,22 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rule_versi
     """The findings of each version's blob beside the columns ``keep``; one row for each row of ``versions``."""
     of = ledger.where(F.col("rule_version") == rule_version).drop("rule_version").withColumnRenamed("blob", "__blob")
     return versions.select(*keep, blob_id().alias("__blob")).join(of, "__blob").drop("__blob")
+
+
+def oracle_sql() -> str:
+    """The same findings of every row of ``documents`` in DuckDB's SQL."""
+    either = lambda words: "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w.replace("?", "")).replace("_", "_?") for w in words) + ")"
+    rules = {"assign": either(["password", "passwd", "secret", "token", "api_key"]) + BASE["assign"][0].pattern.split(")", 1)[1]}
+    rules |= {k: r.pattern for k, (r, *_) in BASE.items() if k != "assign"} | {k: r.pattern for k, r in ADDED.items()}
+    each, columns = [], []
+    for n, (kind, rule) in enumerate(rules.items()):
+        quoted = rule.replace("'", "''")
+        group, least = BASE[kind][1:] if kind in BASE else (0, 1)
+        columns.append(f"regexp_extract_all(t, '{quoted}') AS m{n}, regexp_extract_all(t, '{quoted}', {group}) AS g{n}, string_split_regex(t, '{quoted}') AS s{n}")
+        each.append(f"[{{'a': list_sum([length(x) for x in s{n}[1:i]]) + coalesce(list_sum([length(x) for x in m{n}[1:i - 1]]), 0), 'k': {n}, 'kind': '{kind}', 'n': length(m{n}[i])}} for i in range(1, len(m{n}) + 1) if length(g{n}[i]) >= {least}]")
+    told = lambda x: f"array_to_string([s.kind || ':' || CAST(s.a AS BIGINT) || ':' || CAST(s.a + s.n AS BIGINT) for s in {x}], ',')"
+    count = ", ".join(f"CAST(len([s for s in spans if s.kind = '{k}']) AS BIGINT) AS n_{k}" for k in BASE)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {", ".join(columns)} FROM t),
+f AS (SELECT doc_id, list_sort({" || ".join(each)}) AS spans FROM m)
+SELECT doc_id, {count}, sha256({told(f"[s for s in spans if s.k < {len(BASE)}]")}) AS base_sha256, {told("spans")} AS spans FROM f"""
