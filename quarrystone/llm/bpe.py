@@ -178,10 +178,14 @@ class Codec:
         self.pieces = regex.compile(PIECES)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True))) + ")") if self.merges.added else None
         self.digits = {i: str(i) for i in self.merges.bytes_of}
+        self.long: list[str] = []  # known until other pieces are learned
         self.known: dict[str, tuple[str, bytes]] = {}  # ids in decimal, comma-joined, and their bytes
 
     def learn(self, pieces: set[str]) -> None:
         """Remembers the encoding of each of these pieces."""
+        for p in self.long:
+            self.known.pop(p, None)
+        self.long = []
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
@@ -198,6 +202,7 @@ class Codec:
             n = len(p.encode("utf-8", "replace"))
             by.setdefault(SIZE_CLASS[n] if n <= SHORT else 99, []).append(p)
         of, digits = self.merges.bytes_of, self.digits
+        self.long = by.get(99, [])
         for kind, group in by.items():
             raw = [p.encode("utf-8", "replace") for p in group]
             got = [encode_long(b, self.merges) for b in raw] if kind == 99 else encode_short(raw, self.merges)
