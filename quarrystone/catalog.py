@@ -687,7 +687,7 @@ def tree(s) -> DataFrame:
 
 
 def clone(s) -> DataFrame:
-    return snapshots.clone_ids(tree(s), 900_000_000)
+    return namespace.stored(snapshots.clone_ids(tree(s), 900_000_000))
 
 
 @query(TREE_SQL + " SELECT ino, kind, path, level FROM tree")

@@ -24,29 +24,26 @@ def descend(dirents: DataFrame, roots: DataFrame, max_levels: int | None = None)
 
     A directory met again is not entered again, so cycles end; each level is kept in shared storage.
     """
-    keep = _keeper(dirents.sparkSession)
-    front = keep(roots.select("root", "ino", F.lit(KIND_DIR).alias("kind"), F.lit("").alias("path"), F.lit(0).alias("level")))
+    front = stored(roots.select("root", "ino", F.lit(KIND_DIR).alias("kind"), F.lit("").alias("path"), F.lit(0).alias("level")))
     seen, level = front, 0
     while max_levels is None or level < max_levels:
         level += 1
         step = front.where(F.col("kind") == KIND_DIR).select("root", F.col("ino").alias("parent"), "path").join(dirents, "parent")
         step = step.select("root", "ino", "kind", F.concat("path", F.lit("/"), "name").alias("path"), F.lit(level).alias("level"))
         known = seen.where(F.col("kind") == KIND_DIR).select("root", "ino", "kind")
-        front = keep(step.join(known, ["root", "ino", "kind"], "left_anti"))
+        front = stored(step.join(known, ["root", "ino", "kind"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def _keeper(spark):
-    """Cuts lineage through the folder in spark.checkpoint.dir; where none is set, as in tests, plans just grow."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    return (lambda df: _written(df, own)) if own else (lambda df: df.cache())
-
-
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
+def stored(df: DataFrame) -> DataFrame:
+    """Rows computed once: in the folder of spark.checkpoint.dir; where none is set, as in tests, in the cache."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.cache()
+    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import human_bytes, ratio
 from ..operators import audit
+from ..operators.dedup import refcounts
 
 
 def collect_stats(inodes: DataFrame, extents: DataFrame, chunks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row; ``sizes`` has (scope, files, bytes).  Each part is a one-row aggregate."""
+    """One row; ``sizes`` has (scope, files, bytes).
+
+    Chunks meet their references in one full join, which serves all counts and sums over them.
+    """
+    known = F.col("refcount").isNotNull()
+    both = chunks.select("hash", "refcount", "ulen", "clen").join(refcounts(extents), "hash", "full_outer")
     parts = [
         inodes.agg(F.count("*").alias("inodes"), F.count_if(F.col("kind") == 1).alias("files"), F.count_if(F.col("kind") == 2).alias("directories")),
         sizes.agg(F.coalesce(F.sum(F.when(F.col("scope") == "live", F.col("bytes"))), F.lit(0)).alias("live_bytes"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("logical_bytes")),
-        audit.stored_bytes(chunks),
-        chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("refcount") == 0).alias("zero_ref_chunks")),
+        both.agg(
+            F.sum("ulen").alias("uncompressed"),
+            F.sum("clen").alias("compressed"),
+            F.count("refcount").alias("chunks"),
+            F.count_if(F.col("refcount") == 0).alias("zero_ref_chunks"),
+            F.count_if(~known).alias("missing_chunks"),
+            F.count_if(known & (F.coalesce("refs", F.lit(0)) != F.col("refcount"))).alias("refcount_mismatches"),
+        ),
         audit.orphan_extents(extents, inodes).agg(F.count("*").alias("orphan_extents")),
-        audit.missing_chunks(extents, chunks).agg(F.count("*").alias("missing_chunks")),
-        audit.refcount_mismatches(chunks, extents).agg(F.count("*").alias("refcount_mismatches")),
     ]
     out = parts[0]
     for p in parts[1:]:
