@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
@@ -23,21 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within, a query's shuffle files go as soon as its result is stored (in shared storage, so nothing needs them again)."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in reliable shared storage, without its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with per-task state: ``make`` runs once a task and returns what is applied to each batch."""
+    ship(df.sparkSession)
 
     def run(batches):
         apply = make()
@@ -49,6 +67,24 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a membership filter: 8 MB in all, whatever the number of members.
+FILTER_BITS = 1 << 26
+
+
+def possibly_in(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``members`` (a column of that name): no member is missed.
+
+    Hashed members set bits of a bitmap of fixed size, which is broadcast.  With more members than bits it
+    lets more through; it only spares a shuffle join, which must follow, most of its rows.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    bucket, bit = F.bitmap_bucket_number(F.col("__place")), F.bitmap_bit_position(F.col("__place"))
+    bits = members.select(place.alias("__place")).groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("__place", place).withColumn("__bit", bit).withColumn("__at", bucket).join(F.broadcast(bits), F.col("__at") == F.col("__bucket"))
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("__bit") % 8).cast("int")) != 0).select(*df.columns)
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root): the least node reachable from each node that has an edge to another.
 
@@ -56,7 +92,6 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     two aggregations and two joins on the node; stars with a hot centre are
     rows of an ordinary skew join.  Loops, nulls and repeated edges are ignored.
     """
-    spark = edges.sparkSession
     e = checkpointed(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct())
 
     def large(e: DataFrame) -> DataFrame:
@@ -80,5 +115,4 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         if after == before:
             break
         before = after
-    del spark
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,15 +2,23 @@
 
 Documents of equal sets are one node, named by a hash of the set.
 
-1. Sizes.  Two linked sets differ in size by at most the threshold's factor, so
+1. Company.  A linked set shares all but a known number of its shingles with its
+   partner, so at least a known number of those with small hashes, which both
+   keep.  Nodes with fewer small-hash shingles in company leave; what is common to many
+   texts (a passage, a license line) doesn't hold them.
+2. Sizes.  Two linked sets differ in size by at most the threshold's factor, so
    nodes fall in size classes; a node near a border is replicated into the
    class below (a window), where it may meet smaller partners.
-2. Regions.  In a class whose linked pairs differ in at most K shingles, each set
+3. Regions.  In a class whose linked pairs differ in at most K shingles, each set
    is dealt by hash into K + 1 + SPARE slices.  Linked sets then agree on at least
    1 + SPARE slices, so each may leave out its SPARE weakest ones (fewest
    shingles) and still agree on one that both show.  The least node that shows
    a slice is the pivot of all nodes that do; a pivot and its nodes are a region.
-3. In a region, distances to a pivot order the nodes, and by the triangle
+4. Sketches.  A set's counts in hash ranges are a contraction: two sets' counts
+   differ (summed) by at most the number of shingles in which the sets differ.  A node
+   that no other of its region is near enough to by sketch leaves the region before
+   texts are moved.
+5. In a region, distances to a pivot order the nodes, and by the triangle
    inequality only nodes whose distances differ by at most the threshold's are
    compared, exactly.  A region over REGION nodes is dealt into blocks and joined
    block by block.
@@ -31,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, map_arrow, written
+from .common import connected_components, map_arrow, possibly_in, written
 from .words import U, mix64, range_hash, rolling_hash, slices
 
 #: Slices that every linked pair agrees on beyond one.
@@ -40,8 +48,12 @@ SPARE = 3
 RATIO = 1.6
 #: Nodes of a block of a region; a task holds two blocks.
 REGION = 512
-#: Nodes whose slices a task remembers having shown.
+#: Sets below so many shingles keep all of them for company, others twice the share in which linked sets may differ.
+SMALL = 64
+#: Nodes that a task remembers having shown.
 SHOWN = 1 << 20
+#: Nodes of a region compared by sketch; of a larger region all nodes stay.
+SKETCHED = 20_000
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -99,38 +111,179 @@ def slice_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Shingles in each of a power of two of equal hash ranges, about four in each; at most 255 are told."""
+    bits = min(11, max(4, (len(s) // 4).bit_length()))
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def has_near(sketches: list[np.ndarray], size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of these sets may link with another, by the summed difference of their sketches.
+
+    Longer sketches are folded to the shortest's ranges; told counts of 255 make a difference smaller, never larger.
+    """
+    width = min(map(len, sketches))
+    x = np.stack([np.minimum(k.reshape(width, -1).sum(1, dtype=np.int64), 255) for k in sketches]).astype(np.int16)
+    order = np.argsort(size, kind="stable")
+    x, size = x[order], size[order]
+    near = np.zeros(len(x), bool)
+    step = max(1, (1 << 22) // (width * 64))
+    for a in range(0, len(x), 64):
+        b = min(len(x), a + 64)
+        last = int(np.searchsorted(size * num, size[b - 1] * den, "right"))
+        for c in range(a, last, step):
+            d = min(last, c + step)
+            if near[a:b].all() and near[c:d].all():
+                continue
+            apart = np.abs(x[a:b, None, :] - x[None, c:d, :]).sum(2, dtype=np.int64)
+            ok = apart * (den + num) <= (size[a:b, None] + size[None, c:d]) * (den - num)
+            ok &= np.arange(c, d)[None, :] != np.arange(a, b)[:, None]
+            near[a:b] |= ok.any(1)
+            near[c:d] |= ok.any(0)
+    out = np.empty(len(x), bool)
+    out[order] = near
+    return out
+
+
+def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, node) of a region's nodes that another one of it is near to by sketch; rows have n and sketch too."""
+
+    def run(batches):
+        pivot, nodes, size, own, whole = None, [], [], [], False
+
+        def flush():
+            if whole or len(nodes) > 1:
+                keep = np.ones(len(nodes), bool) if whole else has_near(own, np.array(size, np.int64), num, den)
+                kept = [c for c, k in zip(nodes, keep, strict=True) if k]
+                return pa.RecordBatch.from_arrays([pa.array([pivot] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["pivot", "node"])
+            return None
+
+        last = None
+        for batch in batches:
+            for p, c, n, k in zip(*(batch.column(x).to_pylist() for x in ("pivot", "node", "n", "sketch")), strict=True):
+                if p != pivot:
+                    if (out := flush()) is not None:
+                        yield out
+                    pivot, nodes, size, own, whole, last = p, [], [], [], False, None
+                if c == last:
+                    continue
+                last = c
+                nodes.append(c)
+                size.append(n)
+                own.append(np.frombuffer(k, np.uint8))
+                if len(nodes) > SKETCHED:
+                    whole = True
+                    yield flush()
+                    nodes, size, own = [], [], []
+        if (out := flush()) is not None:
+            yield out
+
+    return region.select("pivot", "node", "n", "sketch").repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(run, "pivot long, node long")
+
+
+def kept_below(n: int, num: int, den: int) -> int:
+    """Hashes below this are kept of a set of n shingles (2**64: all)."""
+    return 1 << 64 if n < SMALL else min(1 << 64, (2 * (den - num) << 64) // den)
+
+
+def small_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    top = kept_below(len(s), num, den)
+    return s if top >> 64 else s[: np.searchsorted(s, U(top))]
+
+
+def company(s: np.ndarray, num: int, den: int) -> int:
+    """Least number of a set's kept shingles that any linked set keeps too.
+
+    The partner keeps at least what the largest possible partner would.
+    """
+    top = kept_below(len(s) * den // num + 1, num, den)
+    both = len(s) if top >> 64 else int(np.searchsorted(s, U(top)))
+    return both - (den - num) * len(s) // den
+
+
 def _sets(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text_key, n, node, slices) of each document; a task shows a node's slices once."""
+    """(doc_id, text_key, n, node, need) of each document; need: its set's least company."""
 
     def make():
-        shown: set[int] = set()
-
         def apply(batch: pa.RecordBatch):
             keyed = batch.column("text_key")
             for s in slices(batch.column("text"), lower=True):
-                n, node, keys, sizes = [], [], [], []
+                n, node, need = [], [], []
                 for i in range(s.n):
                     a, b = s.text(i)
                     own = shingle_set(s.hashes[a:b], width)
                     n.append(len(own))
-                    c = int(node_of(own)) if len(own) else None
-                    node.append(c)
-                    new = c is not None and c not in shown
-                    if new:
+                    node.append(int(node_of(own)) if len(own) else 0)
+                    need.append(company(own, num, den) if len(own) else 0)
+                names = pa.array(np.array(node, U).view(np.int64), mask=np.array(n) == 0)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.n), keyed.slice(s.first, s.n), pa.array(n, pa.int64()), names, pa.array(need, pa.int64())], ["doc_id", "text_key", "n", "node", "need"])
+
+        return apply
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return map_arrow(rows, make, "doc_id long, text_key long, n long, node long, need long")
+
+
+def _kept(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, shingle): the kept shingles of each document's set; a task gives those of a node once."""
+
+    def make():
+        shown: set[int] = set()
+
+        def apply(batch: pa.RecordBatch):
+            for s in slices(batch.column("text"), lower=True):
+                nodes, own = [], []
+                for i in range(s.n):
+                    a, b = s.text(i)
+                    x = shingle_set(s.hashes[a:b], width)
+                    if len(x) and (c := int(node_of(x))) not in shown:
                         if len(shown) >= SHOWN:
                             shown.clear()
                         shown.add(c)
+                        nodes.append(c)
+                        own.append(small_hashes(x, num, den))
+                if nodes:
+                    rows = np.repeat(np.array(nodes, U), [len(x) for x in own])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64)), pa.array(np.concatenate(own).view(np.int64))], ["node", "shingle"])
+
+        return apply
+
+    return map_arrow(documents.select("text"), make, "node long, shingle long")
+
+
+def _in_company(documents: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, doc_id) of nodes that have the company a link needs, with one document of each."""
+    each, ordered = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("node")
+    rows = _kept(documents, width, num, den).withColumn("__before", F.lag("node").over(ordered)).withColumn("__low", F.min("node").over(each)).withColumn("__high", F.max("node").over(each))
+    shared = rows.where("__low < __high and (__before is null or __before <> node)").groupBy("node").agg(F.count("*").alias("shared"))
+    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need"))
+    return classes.join(shared, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("need")).select("node", "doc_id")
+
+
+def _drawn(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, n, sketch, slices, text) of rows (node, text); a row whose text has another set (a repeated id) is left out."""
+
+    def make():
+        def apply(batch: pa.RecordBatch):
+            nodes = batch.column("node").to_numpy().view(U)
+            for s in slices(batch.column("text"), lower=True):
+                rows, n, drawn, keys = [], [], [], []
+                for i in range(s.n):
+                    a, b = s.text(i)
+                    own = shingle_set(s.hashes[a:b], width)
+                    if len(own) and node_of(own) == nodes[s.first + i]:
+                        rows.append(s.first + i)
+                        n.append(len(own))
+                        drawn.append(sketch(own).tobytes())
                         keys.append(slice_keys(own, num, den))
-                    sizes.append(len(keys[-1]) if new else 0)
-                flat = np.concatenate([*keys, np.zeros(0, U)])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
-                names = pa.array(np.array([c or 0 for c in node], U).view(np.int64), mask=np.array([c is None for c in node]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.n), keyed.slice(s.first, s.n), pa.array(n, pa.int64()), names, lists], ["doc_id", "text_key", "n", "node", "slices"])
+                if rows:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+                    own = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([own.column("node"), pa.array(n, pa.int64()), pa.array(drawn, pa.binary()), lists, own.column("text")], ["node", "n", "sketch", "slices", "text"])
 
         return apply
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return map_arrow(rows, make, "doc_id long, text_key long, n long, node long, slices array<long>")
+    return map_arrow(texts, make, "node long, n long, sketch binary, slices array<long>, text string")
 
 
 def region_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +368,7 @@ def _forests(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
                         waiting, tile = [], tiles[k]
                     a, b = s.text(i)
                     own = shingle_set(s.hashes[a:b], width)
-                    if len(own) and node_of(own) == nodes[k]:  # else another row of this id
-                        waiting.append((int(nodes[k]), own))
+                    waiting.append((int(nodes[k]), own))
 
         return apply
 
@@ -229,23 +381,40 @@ def _forests(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return members.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "a long, b long")
 
 
+def _tiles(region: DataFrame) -> DataFrame:
+    """(node, tile): what a task compares.
+
+    Regions that share nodes are compared together, each node once, where they have at most REGION nodes in
+    all.  The others stay apart; one of more nodes is dealt into blocks, and each pair of blocks is a tile.
+    """
+    joined = connected_components(region.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    sized = written(joined.withColumn("size", F.count("*").over(Window.partitionBy("root"))), "joined")
+    together = sized.where(F.col("size") <= REGION).select("node", F.col("root").cast("string").alias("tile"))
+    apart = region.join(sized.where(F.col("size") > REGION).select(F.col("node").alias("pivot")), "pivot", "left_semi")
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("pivot")) / REGION).cast("int")
+    dealt = apart.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return together.unionByName(pairs.select("node", F.format_string("%d:%d:%d", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("tile")))
+
+
 def components(documents: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, text_key, node, component_id) for each row of ``documents``.
 
     Two documents link if den * |intersection| >= num * |union|.  Null and empty texts have no
-    shingles, a null node and themselves as component.  Rows with a null id link others but have
-    no id to give.
+    shingles, a null node and themselves as component.  Rows with a null id have the component of
+    rows of the same set, if there are any, and link with nothing else.
     """
     sets = written(_sets(documents, width, num, den), "sets")
-    shown = sets.select(F.explode("slices").alias("slice"), "node")
+    live = written(_in_company(documents, sets, width, num, den), "company")
+    texts = possibly_in(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", live).join(live, "doc_id").select("node", "text")
+    drawn = written(_drawn(texts, width, num, den), "drawn")
     w = Window.partitionBy("slice")
-    region = shown.withColumn("pivot", F.min("node").over(w)).withColumn("__last", F.max("node").over(w)).where("pivot < __last").select("pivot", "node").distinct()
+    shown = drawn.select(F.explode("slices").alias("slice"), "node").withColumn("pivot", F.min("node").over(w)).withColumn("__last", F.max("node").over(w))
+    region = shown.where("pivot < __last").select("pivot", "node").distinct()
+    region = written(_near_nodes(region.join(drawn.select("node", "n", "sketch"), "node"), num, den), "regions")
+    tiles = _tiles(region)
+    members = drawn.select("node", "text").join(tiles, "node").select("tile", "node", "text")
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("pivot")) / REGION).cast("int")
-    dealt = region.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", F.format_string("%d:%d:%d", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
-    wanted = tiles.join(classes, "node").select(F.col("first_id").alias("doc_id"), "node", "tile")
-    members = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("tile", "node", "text")
     found = connected_components(_forests(members, width, num, den))
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
