@@ -23,10 +23,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import map_arrow
-from .words import rolling_hash, slices, sliding_argmin
+from .words import mix64, rolling_hash, slices, sliding_argmin
 
 #: Words of a window, and of the sub-window that stands for it in the first count.
 WIDTH, ANCHOR = 50, 20
+#: Windows of neighbouring documents compared before the shuffle.
+TOGETHER = 1 << 20
 
 
 def _anchors(hashes: np.ndarray, width: int, anchor: int) -> np.ndarray:
@@ -35,6 +37,23 @@ def _anchors(hashes: np.ndarray, width: int, anchor: int) -> np.ndarray:
     return h[sliding_argmin(h, width - anchor + 1)]
 
 
+def rows_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Windows (row, start, hash) as a batch.
+
+    Where an earlier document of these holds a window too, the later one's is known to be repeated; it needs no
+    comparison and gets a name of its own, so that a window of very many documents is spread out.
+    """
+    row, start, window = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = ids[row]
+    order = np.lexsort((doc, window))
+    new = np.concatenate([[True], window[order][1:] != window[order][:-1]])[: len(order)]
+    least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else doc
+    known = np.zeros(len(order), bool)
+    known[order] = doc[order] > least
+    name = np.where(known, mix64(window ^ mix64(doc.astype(np.uint64)) ^ start.astype(np.uint64)), window)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys[row]), pa.array(start.astype(np.int32)), _longs(name), pa.array(known)], ["doc_id", "text_key", "start", "window", "known"])
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     """(doc_id, text_key, text): rows of one id with other texts are kept apart by the key."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -74,21 +93,24 @@ def removals(documents: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
             batch = batch.take(pa.array(some))
             ids, keys, lists = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy(), batch.column("anchors")
             flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s in slices(batch.column("text")):
-                out = []
                 for i in range(s.n):
                     a, b = s.text(i)
                     k = s.first + i
                     keep = np.flatnonzero(np.isin(_anchors(s.hashes[a:b], width, anchor), flat[at[k] : at[k + 1]]))
-                    out.append((k, keep, rolling_hash(s.hashes[a:b], width)[keep]))
-                rows = np.repeat([k for k, *_ in out], [len(x) for _, x, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys[rows]), pa.array(np.concatenate([x for _, x, _ in out]).astype(np.int32)), _longs(np.concatenate([x for *_, x in out]))], ["doc_id", "text_key", "start", "window"])
+                    found.append((np.full(len(keep), k), keep, rolling_hash(s.hashes[a:b], width)[keep]))
+                if sum(len(x) for x, *_ in found) >= TOGETHER:
+                    yield rows_of(found, ids, keys)
+                    found = []
+            if found:
+                yield rows_of(found, ids, keys)
 
         return apply
 
-    possible = map_arrow(docs.join(wanted, ["doc_id", "text_key"], "left"), windows, "doc_id long, text_key long, start int, window long")
+    possible = map_arrow(docs.join(wanted, ["doc_id", "text_key"], "left"), windows, "doc_id long, text_key long, start int, window long, known boolean")
     first = F.min("doc_id").over(Window.partitionBy("window"))
-    repeated = possible.withColumn("__first", first).where("__first < doc_id")
+    repeated = possible.withColumn("__first", first).where("known or __first < doc_id")
     return repeated.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
 
 
