@@ -15,9 +15,9 @@ Documents of equal sets are one node, named by a hash of the set.
    shingles) and still agree on one that both show.  The least node that shows
    a slice is the pivot of all nodes that do; a pivot and its nodes are a region.
 4. Sketches.  A set's counts in hash ranges are a contraction: two sets' counts
-   differ (summed) by at most the number of shingles in which the sets differ.  A node
-   that no other of its region is near enough to by sketch leaves the region before
-   texts are moved.
+   differ (summed) by at most the number of shingles in which the sets differ.  A region
+   falls into groups of nodes that are near enough by sketch, before texts are moved;
+   nodes alone leave.
 5. In a region, distances to a pivot order the nodes, and by the triangle
    inequality only nodes whose distances differ by at most the threshold's are
    compared, exactly.  A region over REGION nodes is dealt into blocks and joined
@@ -117,8 +117,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
-def has_near(sketches: list[np.ndarray], size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of these sets may link with another, by the summed difference of their sketches.
+def near_groups(sketches: list[np.ndarray], size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the first one of its group; sets that may link, by the summed difference of their sketches, share a group.
 
     Longer sketches are folded to the shortest's ranges; told counts of 255 make a difference smaller, never larger.
     """
@@ -126,37 +126,47 @@ def has_near(sketches: list[np.ndarray], size: np.ndarray, num: int, den: int) -
     x = np.stack([np.minimum(k.reshape(width, -1).sum(1, dtype=np.int64), 255) for k in sketches]).astype(np.int16)
     order = np.argsort(size, kind="stable")
     x, size = x[order], size[order]
-    near = np.zeros(len(x), bool)
+    root = np.arange(len(x))
     step = max(1, (1 << 22) // (width * 64))
     for a in range(0, len(x), 64):
         b = min(len(x), a + 64)
         last = int(np.searchsorted(size * num, size[b - 1] * den, "right"))
         for c in range(a, last, step):
             d = min(last, c + step)
-            if near[a:b].all() and near[c:d].all():
+            if (root[a:b] == root[a]).all() and (root[c:d] == root[a]).all():
                 continue
             apart = np.abs(x[a:b, None, :] - x[None, c:d, :]).sum(2, dtype=np.int64)
             ok = apart * (den + num) <= (size[a:b, None] + size[None, c:d]) * (den - num)
-            ok &= np.arange(c, d)[None, :] != np.arange(a, b)[:, None]
-            near[a:b] |= ok.any(1)
-            near[c:d] |= ok.any(0)
-    out = np.empty(len(x), bool)
-    out[order] = near
+            for i in np.flatnonzero((ok & (root[a:b, None] != root[None, c:d])).any(1)):
+                own = np.unique(np.append(root[c:d][ok[i]], root[a + i]))
+                if len(own) > 1:
+                    root[np.isin(root, own)] = own[0]
+    first = np.full(len(x), len(x))
+    np.minimum.at(first, root, order)
+    out = np.empty(len(x), np.int64)
+    out[order] = first[root]
     return out
 
 
 def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
-    """(pivot, node) of a region's nodes that another one of it is near to by sketch; rows have n and sketch too."""
+    """(pivot, node) of the groups of two and more nodes that a region falls into by sketch; rows have n and sketch too.
+
+    The pivot is now the least node of the group.
+    """
 
     def run(batches):
         pivot, nodes, size, own, whole = None, [], [], [], False
 
         def flush():
-            if whole or len(nodes) > 1:
-                keep = np.ones(len(nodes), bool) if whole else has_near(own, np.array(size, np.int64), num, den)
-                kept = [c for c, k in zip(nodes, keep, strict=True) if k]
-                return pa.RecordBatch.from_arrays([pa.array([pivot] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["pivot", "node"])
-            return None
+            if whole:
+                pivots, kept = [pivot] * len(nodes), nodes
+            elif len(nodes) > 1:
+                group = near_groups(own, np.array(size, np.int64), num, den)
+                some = np.flatnonzero(np.bincount(group, minlength=len(nodes))[group] > 1)
+                pivots, kept = [nodes[group[k]] for k in some], [nodes[k] for k in some]
+            else:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(kept, pa.int64())], ["pivot", "node"])
 
         last = None
         for batch in batches:
@@ -411,7 +421,7 @@ def components(documents: DataFrame, width: int = 3, num: int = 90, den: int = 1
     w = Window.partitionBy("slice")
     shown = drawn.select(F.explode("slices").alias("slice"), "node").withColumn("pivot", F.min("node").over(w)).withColumn("__last", F.max("node").over(w))
     region = shown.where("pivot < __last").select("pivot", "node").distinct()
-    region = written(_near_nodes(region.join(drawn.select("node", "n", "sketch"), "node"), num, den), "regions")
+    region = written(_near_nodes(region.join(drawn.select("node", "n", "sketch"), "node"), num, den).distinct(), "regions")
     tiles = _tiles(region)
     members = drawn.select("node", "text").join(tiles, "node").select("tile", "node", "text")
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))

@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quarrystone.llm import bpe, classify, embeddings, jaccard, packing, pii, secret_scan, substrings
-from quarrystone.llm.common import connected_components
+from quarrystone.llm import bpe, classify, common, embeddings, jaccard, packing, pii, secret_scan, substrings
+from quarrystone.llm.common import connected_components, possibly_in
 from quarrystone.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -219,8 +219,10 @@ def test_sketches_never_part_linked_sets():
         b = np.unique(np.concatenate([a[: max(1, int(0.93 * n))], rng.integers(0, 2**63, max(0, int(0.02 * n))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         linked = 100 * both >= 90 * (len(a) + len(b) - both)
-        near = jaccard.has_near([jaccard.sketch(a), jaccard.sketch(b)], np.array([len(a), len(b)]), 90, 100)
-        assert near.all() or not linked
+        other = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        group = jaccard.near_groups([jaccard.sketch(x) for x in (other, a, b)], np.array([len(other), len(a), len(b)]), 90, 100)
+        assert group[1] == group[2] or not linked
+        assert group[0] == 0 and (n < 20 or group[1] != 0)
 
 
 def test_one_of_each_group_stays(spark):
@@ -249,6 +251,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_membership_filter_misses_nothing(spark, monkeypatch):
+    df, members = spark.range(20_000).withColumnRenamed("id", "k"), spark.range(0, 20_000, 7).withColumnRenamed("id", "k")
+    got = {r.k for r in possibly_in(df, "k", members).collect()}
+    assert {r.k for r in members.collect()} <= got and len(got) < 3000
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    assert possibly_in(df, "k", members).count() >= members.count()
+    assert possibly_in(df, "k", members.limit(0)).count() == 0
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
