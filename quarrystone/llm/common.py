@@ -53,9 +53,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts; Spark's default suits short rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in small batches, unless the session has its own number: a worker then holds a few MB of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with per-task state: ``make`` runs once a task and returns what is applied to each batch."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches):
         apply = make()

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..ship import ship
+from .common import small_batches
 
 CAPACITY = 2048
 #: Tokens packed together; more of them give better balance, fewer less memory.
@@ -160,4 +161,5 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_t
             yield flush()
 
     ship(documents.sparkSession)
+    small_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
