@@ -37,8 +37,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of training sequences: token ids, with a checksum."""
+    return packing.checksums(packing.pack(docs, tokenizer_path()), keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

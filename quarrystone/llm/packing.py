@@ -12,6 +12,7 @@ block's documents are neighbours of one input partition.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..ship import ship
-from .common import small_batches
+from .common import map_arrow, small_batches
 
 CAPACITY = 2048
 #: Tokens packed together; more of them give better balance, fewer less memory.
@@ -30,6 +31,8 @@ BLOCK_TOKENS = 1 << 20
 END_ID = 1
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
+#: Pieces of an Arrow batch from Python: at most 8 MB of ids.
+BATCH_PIECES = 1024
 #: Texts from this many characters on go to the exact library.
 LONG_TEXT = 1 << 20
 
@@ -115,16 +118,17 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR
     return out
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents in sequences of at most ``capacity`` tokens, a power of two.
+    """Pieces of all documents, with their token ids, in sequences of at most ``capacity`` tokens, a power of two.
 
-    A null or empty text is its end id alone.  Repeated rows are packed as documents of their own.
+    A sequence's pieces ordered by ``offset`` are its ids without a gap.  A null or empty text is its
+    end id alone.  Repeated rows are packed as documents of their own.
     Sequence ids are unique: the task's partition in the high bits, a counter below.
     """
-    schema = pa.schema([(c, pa.int64()) for c in SCHEMA.replace(" long", "").split(", ")])
+    schema = pa.schema([(c, pa.list_(pa.int32()) if c == "ids" else pa.int64()) for c in re.findall(r"(\w+) (?:long|array)", SCHEMA)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
@@ -133,20 +137,24 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_t
         names: list[int | None] = []
         held = made = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, made
             lengths = np.array([len(x) for x in ids], np.int64)
             rows = assign(lengths, capacity)
-            columns = [
-                [names[d] for d, *_ in rows], [r[1] for r in rows], [r[2] for r in rows],
-                [zlib.crc32(ids[d][s : s + n].tobytes()) for d, s, n, *_ in rows],
-                [len(ids[d]) for d, *_ in rows], [base + made + r[3] for r in rows], [r[4] for r in rows],
-            ]
+            for k in range(0, len(rows), BATCH_PIECES):
+                part = rows[k : k + BATCH_PIECES]
+                own = [ids[d][s : s + n] for d, s, n, *_ in part]
+                ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+                columns = [
+                    [names[d] for d, *_ in part], [r[1] for r in part], [r[2] for r in part],
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).astype(np.int32))),
+                    [len(ids[d]) for d, *_ in part], [base + made + r[3] for r in part], [r[4] for r in part],
+                ]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], schema=schema)
             made += len(capacities(int(lengths.sum()), capacity))
             ids.clear()
             names.clear()
             held = 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
         end = np.array([end_id], "<u4")
         for batch in batches:
@@ -156,10 +164,26 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_t
                 ids.append(own)
                 held += len(own)
                 if held >= block_tokens:
-                    yield flush()
+                    yield from flush()
         if ids:
-            yield flush()
+            yield from flush()
 
     ship(documents.sparkSession)
     small_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def checksums(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """``pieces`` with ids_crc32, the CRC-32 of each piece's ids as little-endian 32-bit numbers, in the place of ids or after them."""
+    columns = [c for f in pieces.schema for c in ([(f.name, f.dataType.simpleString())] if f.name != "ids" else [("ids", "array<int>")] * keep_ids + [("ids_crc32", "bigint")])]
+
+    def make():
+        def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column("ids")
+            values, ends = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy()
+            crc = pa.array([zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+            return pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c, _ in columns], names=[c for c, _ in columns])
+
+        return add
+
+    return map_arrow(pieces, make, ", ".join(f"`{c}` {t}" for c, t in columns))

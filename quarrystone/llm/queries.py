@@ -37,7 +37,7 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

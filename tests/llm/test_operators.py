@@ -101,6 +101,18 @@ def test_packing(spark, awkward_path, path):
         assert sum(n for _, n in x) == sum(map(len, want[k]))
 
 
+def test_packed_ids(spark, awkward_path):
+    exact = Tokenizer.from_file(tokenizer_path())
+    docs = spark.read.parquet(f"{awkward_path}/documents.parquet")
+    want = sorted([*exact.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect())
+    whole = defaultdict(list)
+    for r in packing.pack(docs.repartition(1), tokenizer_path()).collect():
+        assert len(r.ids) == r.length
+        whole[r.sequence_id].append((r.offset, r.ids))
+    got = [i for k in sorted(whole) for _, ids in sorted(whole[k]) for i in ids]
+    assert sorted(got) == sorted(i for ids in want for i in ids)
+
+
 def test_costs_are_balanced():
     lengths = np.random.default_rng(0).integers(1, 3000, 800)
     cost = defaultdict(float)

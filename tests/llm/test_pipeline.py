@@ -1,13 +1,16 @@
 """Each stage of the pipeline against plain Python, on what its predecessor kept."""
 
 import re
+import struct
+import zlib
 from collections import defaultdict
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quarrystone.llm import pii
-from quarrystone.llm.queries import QUERIES, table
+from quarrystone.llm.queries import QUERIES, table, tokenizer_path
 
 from .test_operators import brute_components, brute_pii, brute_repeats, sha
 
@@ -78,6 +81,15 @@ def test_packing(kept):
     assert all(n <= 2048 and n & (n - 1) == 0 for n in filled.values())
 
 
+def test_packed_ids_are_those_of_the_texts(kept):
+    exact, pieces = Tokenizer.from_file(tokenizer_path()), defaultdict(list)
+    for r in kept[4].collect():
+        assert zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids)) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.ids))
+    got = {k: [i for _, ids in sorted(x) for i in ids] for k, x in pieces.items()}
+    assert got == {k: [*exact.encode(t, add_special_tokens=False).ids, 1] for k, t in texts(kept[3]).items()}
+
+
 def test_run(spark, kept):
     assert corpus_pipeline.ORACLE_SQL is None
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()))[:1] != []
