@@ -227,7 +227,7 @@ st AS (SELECT (SELECT count(*) FROM inodes) AS inodes, (SELECT count(*) FROM ino
 
 
 def scoped_sizes(s) -> DataFrame:
-    tree = namespace.descend_sql(s.dirents, 1)
+    tree = namespace.below(s.dirents, 1)
     top = F.split_part("path", F.lit("/"), F.lit(2))
     scope = F.when(top == "fr", "snapshots").when(top == "es", "vault").otherwise("live")
     return namespace.logical_size(tree, s.inodes, scope)
@@ -683,7 +683,7 @@ CLONE_SQL = TREE_SQL + ", ids AS (SELECT path, ino, kind, split_part(path, '/',
 
 
 def tree(s) -> DataFrame:
-    return namespace.descend_sql(s.dirents, 1)
+    return namespace.below(s.dirents, 1)
 
 
 def clone(s) -> DataFrame:

@@ -48,16 +48,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def descend_sql(dirents: DataFrame, root: int) -> DataFrame:
-    """(ino, kind, path, level) below ``root`` by a recursive query; for shallow trees without cycles."""
-    spark, name = dirents.sparkSession, f"dirents_{uuid.uuid4().hex}"
-    dirents.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE tree(ino, kind, path, level) AS (
-          SELECT ino, kind, '/' || name, 1 FROM {name} WHERE parent = {int(root)}
-          UNION ALL
-          SELECT d.ino, d.kind, t.path || '/' || d.name, t.level + 1 FROM tree t JOIN {name} d ON d.parent = t.ino WHERE t.kind = {KIND_DIR})
-        SELECT * FROM tree""")
+def below(dirents: DataFrame, root: int) -> DataFrame:
+    """(ino, kind, path, level) below ``root``, by ``descend``: a recursive query stops at Spark's row and level limits."""
+    roots = dirents.sparkSession.createDataFrame([(root, root)], "root long, ino long")
+    return descend(dirents, roots).where("level > 0").select("ino", "kind", "path", "level")
 
 
 def resolve(dirents: DataFrame, paths: DataFrame, root: int) -> DataFrame:

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystone import catalog
 from quarrystone.operators import blocks, coalesce, dedup, dml, gc, namespace, packs, reads
 from quarrystone.plans import repack
-from quarrystone.sources import tables
+from quarrystone.sources import store, tables
 from quarrystone.streaming.writes import CollectionState
 
 
@@ -68,6 +69,20 @@ def test_cycles_end(spark):
     assert {r.path for r in got.collect()} == {"", "/a", "/a/b", "/a/b/f"}
 
 
+def test_trees_have_no_row_or_level_limit(spark):
+    limits = {"spark.sql.cteRecursionRowLimit": "5", "spark.sql.cteRecursionLevelLimit": "2"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = catalog.QUERIES["r5_paths"](spark, "/root/testdata/sf0.001").count()
+        sizes = catalog.QUERIES["a7_a8_o8_logical_sizes"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert got == store.Store(spark, "/root/testdata/sf0.001").dirents.count() > 5
+    assert sum(r.files for r in sizes) > 5
+
+
 def test_hard_links_count_once(spark):
     reached = spark.createDataFrame([(5, 1), (5, 1), (6, 1), (7, 2)], "ino long, kind int")
     inodes = spark.createDataFrame([(5, 1, 100), (6, 1, 10), (7, 2, 0)], "ino long, kind int, size long")
