@@ -147,7 +147,7 @@ def digests(documents: DataFrame) -> DataFrame:
 
 
 def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with each span replaced by its kind in angle brackets; where spans overlap, the first stays.
+    """``documents`` with each span replaced by its kind in angle brackets; spans that overlap go as one, named by the first.
 
     All rows and other columns stay; a null text stays null.  A column n_chars follows the text.
     """
@@ -158,7 +158,7 @@ def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
         own = F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         free = s["start"] >= acc["at"]
         longer = acc["n"] + s["start"] - acc["at"] + F.char_length(s["kind"]) + 2
-        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, own).otherwise(acc["out"]).alias("out"), F.when(free, longer).otherwise(acc["n"]).alias("n"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, own).otherwise(acc["out"]).alias("out"), F.when(free, longer).otherwise(acc["n"]).alias("n"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.lit(0).cast("long").alias("n"))
     whole = F.aggregate("__pii", zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.char_length(t))).alias("text"), (acc["n"] + F.char_length(t) - acc["at"]).alias("n")))

@@ -439,6 +439,17 @@ def test_redaction(spark):
     assert pii.redacted(df).columns == df.columns
 
 
+def test_redaction_of_overlapping_spans(spark):
+    cases = {
+        "+1 415 555 0123.bob@x.com": "<PHONE>",
+        "see 4111 1111 1111 1111@x.com, ok": "see <CARD>, ok",
+        "+1 415 555 0123.bob@x.com and c@d.org": "<PHONE> and <EMAIL>",
+    }
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(cases)], "doc_id long, text string, n_chars long")
+    got = [(r.text, r.n_chars) for r in pii.redacted(df).orderBy("doc_id").collect()]
+    assert got == [(t, len(t)) for t in cases.values()]
+
+
 def test_pii_plan_has_no_python(spark):
     plan = QUERIES["op8_pii"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
