@@ -4,11 +4,15 @@ Regular expressions propose spans; Luhn, mod-97 and range checks confirm them;
 words near a span move its score.  Base kinds that pass their checks always
 stay; the kinds added here (IBAN, social security number) stay from MIN_SCORE on.
 Positions are code points: a pattern's matches alternate with the text between
-them, so running lengths give both ends.
+them, so running lengths give both ends.  A text with spans is cut into blocks once, and
+what lies around or between spans is read from its block: the work grows with text and
+spans (times a logarithm for the running sums), not with their product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,37 +91,69 @@ def confirmed(kind: str, m: Column) -> Column:
 
 
 SPAN = "array<struct<start: bigint, k: int, kind: string, end: bigint, score: double>>"
+#: Code points of a block of text.
+BLOCK = 512
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of each prefix of an array of longs the combination of its values, by doubling."""
+    strides = F.array(*(F.lit(1 << k) for k in range(31)))
+
+    def double(acc: Column, s: Column) -> Column:
+        return F.transform(acc, lambda v, i: F.when(i >= s, combine(v, F.get(acc, i - s))).otherwise(v))
+
+    return let(values, lambda all_: F.aggregate(F.filter(strides, lambda s: s < F.size(all_)), all_, double))
+
+
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text in blocks; what lies beyond it is empty."""
+
+    def part(k: Column) -> Column:
+        at = F.greatest(start - k * BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, k), (at + 1).cast("int"), (F.least(end - k * BLOCK, F.lit(BLOCK)) - at).cast("int"))
+
+    touched = F.sequence(F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int"))
+    return F.when(end > start, F.array_join(F.transform(touched, part), "")).otherwise("")
 
 
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: start, rank of the kind, kind, end (exclusive), score."""
-    rule, k = F.lit(PATTERNS[kind]), [*PATTERNS].index(kind)
-    pieces = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, rule, F.lit(0)).alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        ok = x["hit"].isNotNull() & F.when(x["hit"].isNotNull(), confirmed(kind, x["hit"])).otherwise(False)
-        if kind in TOUCH:
-            beside = F.concat(F.substring(text, start.cast("int"), F.when(start > 0, 1).otherwise(0)), F.substring(text, end.cast("int") + 1, F.lit(1)))
-            ok = ok & ~beside.rlike(TOUCH[kind])
-        one = F.struct(start.cast("long").alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), F.lit(0.0).alias("score"))
-        return F.struct(end.cast("long").alias("at"), F.when(ok, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-
-    def scored(s: Column) -> Column:
-        around = F.lower(F.concat(F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(NEAR)).cast("int")), F.lit(" "), F.substring(text, s["end"].cast("int") + 1, F.lit(NEAR))))
-        return s.withField("score", F.lit(SCORE[kind]) + F.when(around.rlike(WORDS[kind]), CONTEXT).otherwise(0.0))
-
-    found = F.transform(found, scored)
-    if kind not in BASE:
-        found = F.filter(found, lambda s: s["score"] >= MIN_SCORE - 1e-9)
-    need = text.rlike(PATTERNS[kind])
-    if NEEDS[kind]:
-        need = text.contains(NEEDS[kind]) & need
-    return F.when(need, found).otherwise(F.array().cast(SPAN))
+    pattern, k = PATTERNS[kind], [*PATTERNS].index(kind)
+    none = F.array().cast(SPAN)
+
+    def placed(hits: Column, gaps: Column) -> Column:
+        sizes = F.transform(F.slice(gaps, F.lit(1), F.size(hits)), lambda g, i: (F.char_length(g) + F.coalesce(F.char_length(F.get(hits, i - 1)), F.lit(0))).cast("long"))
+        starts = running(sizes, lambda a, b: a + b)
+        both = F.transform(F.arrays_zip(starts.alias("start"), hits.alias("hit")), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["hit"])).alias("end"), x["hit"].alias("hit")))
+        return F.filter(both, lambda x: confirmed(kind, x["hit"]))
+
+    def scored(found: Column, blocks: Column) -> Column:
+        def one(x: Column) -> Column:
+            before, after = cut(blocks, F.greatest(x["start"] - NEAR, F.lit(0)), x["start"]), cut(blocks, x["end"], x["end"] + NEAR)
+            near = F.lower(F.concat(before, F.lit(" "), after)).rlike(WORDS[kind])
+            score = F.lit(SCORE[kind]) + F.when(near, CONTEXT).otherwise(0.0)
+            if kind in TOUCH:
+                score = F.when(F.concat(F.right(before, F.lit(1)), F.left(after, F.lit(1))).rlike(TOUCH[kind]), 0.0).otherwise(score)
+            return F.struct(x["start"].alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), x["end"].alias("end"), score.alias("score"))
+
+        out = F.transform(found, one)
+        return out if kind in BASE else F.filter(out, lambda s: s["score"] >= MIN_SCORE - 1e-9)
+
+    def from_hits(hits: Column) -> Column:
+        found = let(F.split(text, pattern, -1), lambda gaps: placed(hits, gaps))
+        return F.when(F.size(hits) > 0, let(found, lambda x: F.when(F.size(x) > 0, let(blocks_of(text), lambda b: scored(x, b))).otherwise(none))).otherwise(none)
+
+    out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), from_hits)
+    return F.when(text.contains(NEEDS[kind]), out).otherwise(none) if NEEDS[kind] else out
 
 
 def with_spans(documents: DataFrame, text: str = "text", column: str = "pii") -> DataFrame:
@@ -139,11 +175,12 @@ def is_kind(kind: str):
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) for each row; scores in percent, in the order of spans."""
     found = with_spans(documents.select("doc_id", "text"), column="__pii").select("doc_id", "__pii")
     base = F.filter("__pii", lambda s: s["k"] < len(BASE))
     count = [F.size(F.filter("__pii", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__pii")).alias("spans"))
+    scores = F.array_join(F.transform("__pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__pii")).alias("spans"), scores.alias("scores"))
 
 
 def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -152,20 +189,20 @@ def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
     All rows and other columns stay; a null text stays null.  A column n_chars follows the text.
     """
     found = with_spans(documents, text, "__pii")
-    t = F.coalesce(F.col(text), F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        own = F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        free = s["start"] >= acc["at"]
-        longer = acc["n"] + s["start"] - acc["at"] + F.char_length(s["kind"]) + 2
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, own).otherwise(acc["out"]).alias("out"), F.when(free, longer).otherwise(acc["n"]).alias("n"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.lit(0).cast("long").alias("n"))
-    whole = F.aggregate("__pii", zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.char_length(t))).alias("text"), (acc["n"] + F.char_length(t) - acc["at"]).alias("n")))
-    done = found.withColumn("__new", F.when(F.size("__pii") > 0, whole))
-    new, size = F.coalesce("__new.text", text), F.coalesce("__new.n", F.length(F.col(text)))
+    t, spans = F.coalesce(F.col(text), F.lit("")), F.col("__pii")
+
+    def rest(blocks: Column, reach: Column) -> Column:
+        """Text before each span that begins after all before it have ended, its kind, and the text after the last."""
+        before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(reach, i - 1))
+        first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= before(i))
+        parts = F.transform(first, lambda i: F.concat(cut(blocks, before(i), F.get(spans, i)["start"]), F.lit("<"), F.upper(F.get(spans, i)["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), cut(blocks, F.get(reach, F.size(spans) - 1), F.char_length(t)))
+
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    new = let(F.struct(blocks_of(t).alias("blocks"), reach.alias("reach")), lambda x: rest(x["blocks"], x["reach"]))
+    done = found.withColumn("__new", F.when(F.size(spans) > 0, new).otherwise(F.col(text)))
     kind = documents.schema
-    return done.select(*(new.alias(c) if c == text else size.cast(kind[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
+    return done.select(*(F.col("__new").alias(c) if c == text else F.length("__new").cast(kind[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
 
 
 def oracle_sql() -> str:
@@ -190,7 +227,7 @@ def oracle_sql() -> str:
     parts = []
     for n, (kind, rule) in enumerate(rules.items()):
         parts.append(f"""
-SELECT * FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, a, a + length(m) AS e, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS w,
+SELECT *, CAST({round(SCORE[kind] * 100)} + CASE WHEN regexp_matches(around, '{WORDS[kind]}') THEN {round(CONTEXT * 100)} ELSE 0 END AS VARCHAR) AS score FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, a, a + length(m) AS e, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS w,
   CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END || substr(t, a + length(m) + 1, 1) AS beside, lower(substr(t, greatest(a - {NEAR}, 0) + 1, least(a, {NEAR})) || ' ' || substr(t, a + length(m) + 1, {NEAR})) AS around
   FROM (SELECT doc_id, t, ms[i] AS m, CAST(list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS BIGINT) AS a
     FROM (SELECT doc_id, t, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{rule}') AS ms, string_split_regex(t, '{rule}') AS gaps FROM t)))) WHERE {ok[kind]}""")
@@ -198,5 +235,5 @@ SELECT * FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, a, a + length(m) AS e,
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(parts)}),
-g AS (SELECT doc_id, {counts}, {told} FILTER (k < {len(BASE)}) AS base, {told} AS spans FROM found GROUP BY doc_id)
-SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g ON g.doc_id = t.doc_id"""
+g AS (SELECT doc_id, {counts}, {told} FILTER (k < {len(BASE)}) AS base, {told} AS spans, string_agg(score, ',' ORDER BY a, k) AS scores FROM found GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN g ON g.doc_id = t.doc_id"""

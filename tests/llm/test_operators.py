@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -450,6 +451,24 @@ def test_redaction_of_overlapping_spans(spark):
     assert got == [(t, len(t)) for t in cases.values()]
 
 
+def test_a_text_of_many_spans(spark):
+    """A megabyte of addresses: the work must grow with the text, not with its square."""
+    n = 150_000
+    df = spark.createDataFrame([(1, "a@b.co " * n)], "doc_id long, text string")
+    start = time.time()
+    row, cut = pii.digests(df).first(), pii.redacted(df).first()
+    assert time.time() - start < 60
+    assert row.n_email == n and row.base_sha256 == sha(",".join(f"email:{7 * i}:{7 * i + 6}" for i in range(n)))
+    assert cut.text == "<EMAIL> " * n
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 511, 512, 513, 1024, 2000])
+def test_context_across_blocks(spark, length):
+    df = spark.createDataFrame([(1, "é" * length + " ssn 123-45-6789, card 4111 1111 1111 1111."), (2, "😀" * length + "ssn" + "." * 41 + "123-45-6789")], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.digests(df).collect()}
+    assert got == {1: (f"ssn:{length + 5}:{length + 16},card:{length + 23}:{length + 42}", "60,90"), 2: ("", "")}
+
+
 def test_pii_plan_has_no_python(spark):
     plan = QUERIES["op8_pii"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
