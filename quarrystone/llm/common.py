@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,13 +17,16 @@ from ..ship import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (as in tests) gets a temporary one; a cluster has no folder that would do.
+    """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", own)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(own)
     return own
 
 
@@ -38,19 +42,45 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in reliable shared storage, without its lineage."""
-    shared_dir(df.sparkSession)
-    with shuffles_dropped(df.sparkSession):
-        return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, name: str) -> str:
+    """Where a table of that name may be written in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: The tables that a thread wrote since it entered each tables_dropped() that it is in.
+_within = threading.local()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with shuffles_dropped(df.sparkSession):
+def written(df: DataFrame, name: str, instead_of: list[str] | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut, and executors may be lost.
+
+    The table takes the place of that in ``instead_of``, which is deleted.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with shuffles_dropped(spark):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for made in getattr(_within, "open", [])[-1:]:
+        made.append(path)
+    if instead_of is not None:
+        drop_tables(spark, instead_of)
+        instead_of[:] = [path]
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def tables_dropped(spark: SparkSession):
+    """Tables that are written() within are deleted at the end; what depends on them must be stored elsewhere by then."""
+    _within.open = [*getattr(_within, "open", []), []]
+    try:
+        yield
+    finally:
+        drop_tables(spark, _within.open.pop())
 
 
 #: Rows of an Arrow batch of texts; Spark's default suits short rows.
@@ -104,7 +134,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     two aggregations and two joins on the node; stars with a hot centre are
     rows of an ordinary skew join.  Loops, nulls and repeated edges are ignored.
     """
-    e = checkpointed(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct())
+    last: list[str] = []
+    e = written(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges", last)
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -122,7 +153,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
 
     before = mark(e)
     while True:
-        e = checkpointed(small(large(e)))
+        e = written(small(large(e)), "edges", last)
         after = mark(e)
         if after == before:
             break

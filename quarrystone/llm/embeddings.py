@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import checkpointed, connected_components
+from .common import connected_components, written
 
 #: Vectors of a block: tiles of BLOCK x BLOCK products.
 BLOCK = 8192
@@ -123,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
         return pa.table({"node": nodes[some], "links": count[some].astype(np.int64), "root": nodes[order[root[rank[some]]]]})
 
     found = tiles.groupBy("i", "j", "d").applyInArrow(links, "node long, links long, root long")
-    found = checkpointed(found)
+    found = written(found, "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
     of = classes.join(counts, "node", "left").join(roots, "node", "left").select("embedding", "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))

@@ -158,6 +158,28 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert secret_scan.findings(b, ledger.union(fresh), ["doc_id"]).count() == 6
 
 
+def test_no_version_is_lost_or_doubled(spark, tmp_path, monkeypatch):
+    rows = [(1, "token = abcdefgh"), (2, "nothing"), (2, "nothing"), (3, None), (None, "token = abcdefgh")]
+    a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:3], rows))
+    ledger = secret_scan.update_ledger(a, str(tmp_path / "ledger"))
+    part = secret_scan.findings(b, ledger, ["doc_id"]).collect()
+    assert len(part) == 5 and [r.doc_id for r in part if r.spans is None] == [3]
+    secret_scan.update_ledger(b, str(tmp_path / "ledger"))
+    assert secret_scan.update_ledger(b, str(tmp_path / "ledger")).count() == 3
+    monkeypatch.setattr(secret_scan, "FILTER_BITS", 8)  # more unseen blobs than a bitmap can tell apart
+    assert secret_scan.scan_unseen(b, ledger.where("blob is null")).count() == 3
+    twice = ledger.union(ledger)
+    assert sorted(str(r.doc_id) for r in secret_scan.findings(b, twice, ["doc_id"]).where("n_assign = 1").collect()) == ["1", "None"]
+
+
+@pytest.mark.parametrize("bit", ["-eyJaaaaaaaa", "eyJaaaaaaaaa.", "password = ", "token", "http://a:b", "xoxa-", "AKIA", "0123456789abcdef0123456-"])
+def test_scanning_is_linear(bit):
+    text = bit * (4_000_000 // len(bit))
+    start = time.time()
+    secret_scan.scan_text(text)
+    assert time.time() - start < 20
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 
