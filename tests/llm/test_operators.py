@@ -8,6 +8,7 @@ import struct
 import time
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -412,6 +413,41 @@ def test_top_k(spark, shard, monkeypatch):
     assert sorted(map(tuple, got)) == brute_top(rows, 20)
 
 
+@pytest.mark.parametrize("size", [1e3, 1e7, 1e9, 1e17, 1e30, 1e306])
+def test_top_k_of_large_components(spark, size):
+    """Exact integers; beyond a long's range scores are cut to it and tie."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) * (size if i % 3 else 1)).tolist()) for i in range(120)] + [(200, [size, 1.0, -0.0, 0.5]), (201, [size, 1.0, 0.0, 0.5])]
+    whole = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 220, 20):
+        if q in whole:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), -(2**63)), 2**63 - 1), c) for c in whole if c != q)
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (16384, 30):
+        got = embeddings.top_k(df, embeddings.F.col("vec_id") % 20 == 0, k=5, shard=shard).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_links_of_large_small_and_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=2500) + (i % 3) * 2).tolist()) for i in range(12)]
+    rows += [(20, [1e200, 0.0]), (21, [1e-200, 1e-220]), (22, [-0.0, 1e300]), (23, [0.0, 1e300]), (24, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert {k: got[k] for k in range(12)} == {k: x for k, x in brute_links(rows[:12]).items()}
+    assert got[20] == (1, 20, True) and got[21] == (1, 20, False) and [got[k] for k in (22, 23, 24)] == [(2, 22, True), (2, 22, False), (2, 22, False)]
+
+
+def test_code_products_are_exact():
+    rng = np.random.default_rng(8)
+    for d in (64, 1024, 3000):
+        x = rng.integers(-127, 128, (30, d)).astype(np.int8)
+        x[0], x[1] = 127, -127
+        assert (embeddings.code_products(x, x) == x.astype(np.int64) @ x.astype(np.int64).T).all()
+
+
 def test_top_k_with_few_candidates(spark, awkward_path):
     got = QUERIES["op10_topk"](spark, awkward_path).collect()
     assert {r.query_id for r in got} == {0, 20, 40} and all(r.vec_id != r.query_id for r in got)
