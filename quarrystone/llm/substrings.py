@@ -27,8 +27,8 @@ from .words import mix64, rolling_hash, slices, sliding_argmin
 
 #: Words of a window, and of the sub-window that stands for it in the first count.
 WIDTH, ANCHOR = 50, 20
-#: Windows of neighbouring documents compared before the shuffle.
-TOGETHER = 1 << 20
+#: Windows of neighbouring documents compared at once before the shuffle, and shared ones that a task remembers.
+TOGETHER, REMEMBERED = 1 << 20, 1 << 20
 
 
 def _anchors(hashes: np.ndarray, width: int, anchor: int) -> np.ndarray:
@@ -37,21 +37,42 @@ def _anchors(hashes: np.ndarray, width: int, anchor: int) -> np.ndarray:
     return h[sliding_argmin(h, width - anchor + 1)]
 
 
-def rows_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """Windows (row, start, hash) as a batch.
+class Windows:
+    """The windows that a task has met, told once a document.
 
-    Where an earlier document of these holds a window too, the later one's is known to be repeated; it needs no
-    comparison and gets a name of its own, so that a window of very many documents is spread out.
+    Where an earlier document of this task holds a window too, the later one's is known to be repeated; it needs no
+    comparison and gets a name of its own.  So a window of very many documents makes a few rows a task.
     """
-    row, start, window = (np.concatenate(x) for x in zip(*found, strict=True))
-    doc = ids[row]
-    order = np.lexsort((doc, window))
-    new = np.concatenate([[True], window[order][1:] != window[order][:-1]])[: len(order)]
-    least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else doc
-    known = np.zeros(len(order), bool)
-    known[order] = doc[order] > least
-    name = np.where(known, mix64(window ^ mix64(doc.astype(np.uint64)) ^ start.astype(np.uint64)), window)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys[row]), pa.array(start.astype(np.int32)), _longs(name), pa.array(known)], ["doc_id", "text_key", "start", "window", "known"])
+
+    def __init__(self) -> None:
+        self.window, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def rows(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """Windows (row, start, hash) as a batch."""
+        row, start, window = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = ids[row]
+        order = np.lexsort((doc, window))
+        w, d = window[order], doc[order]
+        new = np.concatenate([[True], w[1:] != w[:-1]])[: len(order)]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        name, least = w[first], d[first]
+        if len(self.window) and len(name):
+            at = np.minimum(np.searchsorted(self.window, name), len(self.window) - 1)
+            least = np.where(self.window[at] == name, np.minimum(self.least[at], least), least)
+        known = np.zeros(len(order), bool)
+        known[order] = d > least[group]
+        self.remember(name, least, np.maximum.reduceat(d > least[group], first) if len(first) else new)
+        own = np.where(known, mix64(window ^ mix64(doc.astype(np.uint64)) ^ start.astype(np.uint64)), window)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys[row]), pa.array(start.astype(np.int32)), _longs(own), pa.array(known)], ["doc_id", "text_key", "start", "window", "known"])
+
+    def remember(self, window: np.ndarray, least: np.ndarray, shared: np.ndarray) -> None:
+        """Keeps what several documents share; what was kept before goes first when there is too much."""
+        window, least = window[shared], least[shared]
+        if len(self.window) + len(window) <= REMEMBERED:
+            old = ~np.isin(self.window, window)
+            window, least = np.concatenate([self.window[old], window]), np.concatenate([self.least[old], least])
+        order = np.argsort(window, kind="stable")
+        self.window, self.least = window[order], least[order]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -64,7 +85,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def removals(documents: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text_key, starts): starts of the windows of each document that go, in words."""
+    """(doc_id, text_key, starts): where each window of a document that goes starts first, in words."""
     docs = _keyed(documents)
     anchor = min(anchor, width)
 
@@ -86,6 +107,8 @@ def removals(documents: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     wanted = rows.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
 
     def windows():
+        met = Windows()
+
         def apply(batch: pa.RecordBatch):
             some = np.flatnonzero(batch.column("anchors").is_valid().to_numpy(zero_copy_only=False))
             if not len(some):
@@ -94,17 +117,21 @@ def removals(documents: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
             ids, keys, lists = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy(), batch.column("anchors")
             flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            first_row = {x: i for i, x in reversed([*enumerate(zip(ids.tolist(), keys.tolist(), strict=True))])}
             for s in slices(batch.column("text")):
                 for i in range(s.n):
                     a, b = s.text(i)
                     k = s.first + i
+                    if first_row[ids[k], keys[k]] != k:  # a repeated row tells nothing new
+                        continue
                     keep = np.flatnonzero(np.isin(_anchors(s.hashes[a:b], width, anchor), flat[at[k] : at[k + 1]]))
-                    found.append((np.full(len(keep), k), keep, rolling_hash(s.hashes[a:b], width)[keep]))
+                    own, first = np.unique(rolling_hash(s.hashes[a:b], width)[keep], return_index=True)
+                    found.append((np.full(len(own), k), keep[first], own))
                 if sum(len(x) for x, *_ in found) >= TOGETHER:
-                    yield rows_of(found, ids, keys)
+                    yield met.rows(found, ids, keys)
                     found = []
             if found:
-                yield rows_of(found, ids, keys)
+                yield met.rows(found, ids, keys)
 
         return apply
 
@@ -135,8 +162,10 @@ def _texts(batch: pa.RecordBatch, width: int):
         raw = s.data.tobytes()
         for i in range(s.n):
             a, b = s.text(i)
-            starts = lists[s.first + i]
-            mask = covered(np.array(starts.as_py(), np.int64), b - a, width) if starts.is_valid else np.zeros(b - a, bool)
+            starts, mask = lists[s.first + i], np.zeros(b - a, bool)
+            if starts.is_valid:  # a window goes wherever the document repeats it
+                h = rolling_hash(s.hashes[a:b], width)
+                mask = covered(np.flatnonzero(np.isin(h, h[np.array(starts.as_py(), np.int64)])), b - a, width)
             yield s, raw, i, a, b, mask
 
 

@@ -569,6 +569,21 @@ def test_repeats(spark, width, anchor):
     assert got == brute_repeats(rows, width)
 
 
+def test_windows_of_many_documents_are_told_once_a_task(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "TOGETHER", 30)
+    p = " ".join(f"p{i}" for i in range(9))
+    rows = [(k, f"{k} {p} {p} x{k % 7} " + "z " * (k % 30)) for k in random.Random(8).sample(range(200), 150)]
+    want = brute_repeats(rows, 6)
+    for remembered in (1 << 20, 5):
+        monkeypatch.setattr(substrings, "REMEMBERED", remembered)
+        got = substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"), 6, 3).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    met, h = substrings.Windows(), np.arange(5, dtype=np.uint64)
+    ids = np.array([3, 1, 2, 0])
+    tell = lambda *docs: met.rows([(np.full(5, d), np.arange(5), h) for d in docs], ids, ids).column("known").to_pylist()
+    assert tell(0, 1) == [True] * 5 + [False] * 5 and tell(2) == [True] * 5 and tell(3) == [False] * 5
+
+
 def test_cut_texts(spark):
     p = " ".join(f"p{i}" for i in range(50))
     rows = [(1, f"a {p} b", 5, "x"), (2, f"  c\n{p}\td", 5, "y"), (3, p, 5, "z"), (4, None, None, None), (5, "short", 5, None)]
