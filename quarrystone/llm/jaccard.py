@@ -5,7 +5,7 @@ Documents of equal sets are one node, named by a hash of the set.
 1. Company.  A linked set shares all but a known number of its shingles with its
    partner, so at least a known number of those with small hashes, which both
    keep.  Nodes with fewer small-hash shingles in company leave; what is common to many
-   texts (a passage, a license line) doesn't hold them.
+   texts (a passage, a license line) doesn't hold them, and is told about once a task.
 2. Sizes.  Two linked sets differ in size by at most the threshold's factor, so
    nodes fall in size classes; a node near a border is replicated into the
    class below (a window), where it may meet smaller partners.
@@ -35,6 +35,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,8 +53,8 @@ REGION = 512
 SMALL = 64
 #: Nodes that a task remembers having shown.
 SHOWN = 1 << 20
-#: Nodes of a region compared by sketch; of a larger region all nodes stay.
-SKETCHED = 20_000
+#: Nodes of a region compared by sketch in one task; of a larger region all nodes stay.
+SKETCHED = 2048
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -155,17 +156,14 @@ def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def run(batches):
-        pivot, nodes, size, own, whole = None, [], [], [], False
+        pivot, nodes, size, own = None, [], [], []
 
         def flush():
-            if whole:
-                pivots, kept = [pivot] * len(nodes), nodes
-            elif len(nodes) > 1:
-                group = near_groups(own, np.array(size, np.int64), num, den)
-                some = np.flatnonzero(np.bincount(group, minlength=len(nodes))[group] > 1)
-                pivots, kept = [nodes[group[k]] for k in some], [nodes[k] for k in some]
-            else:
+            if len(nodes) < 2:
                 return None
+            group = near_groups(own, np.array(size, np.int64), num, den)
+            some = np.flatnonzero(np.bincount(group, minlength=len(nodes))[group] > 1)
+            pivots, kept = [nodes[group[k]] for k in some], [nodes[k] for k in some]
             return pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(kept, pa.int64())], ["pivot", "node"])
 
         last = None
@@ -174,17 +172,13 @@ def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
                 if p != pivot:
                     if (out := flush()) is not None:
                         yield out
-                    pivot, nodes, size, own, whole, last = p, [], [], [], False, None
+                    pivot, nodes, size, own, last = p, [], [], [], None
                 if c == last:
                     continue
                 last = c
                 nodes.append(c)
                 size.append(n)
                 own.append(np.frombuffer(k, np.uint8))
-                if len(nodes) > SKETCHED:
-                    whole = True
-                    yield flush()
-                    nodes, size, own = [], [], []
         if (out := flush()) is not None:
             yield out
 
@@ -234,11 +228,46 @@ def _sets(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return map_arrow(rows, make, "doc_id long, text_key long, n long, node long, need long")
 
 
+class Company:
+    """The kept shingles that a task has met.
+
+    Where two of its nodes keep a shingle, both are known to be in company and the shingle is told
+    with two of them as witnesses for other tasks, once a task.  So a very common shingle makes a few rows a task.
+    """
+
+    def __init__(self, task: int) -> None:
+        self.shared, self.name = np.zeros(0, U), mix64(np.array([task], U))[0]
+
+    def rows(self, nodes: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
+        """(node, shingle, known): shingles that need other tasks (known is null) or are witnesses (0).
+
+        How many a node knows to be in company goes under a number of its own instead of a shingle.
+        """
+        row, shingle = np.repeat(np.arange(len(nodes)), [len(x) for x in own]), np.concatenate(own)
+        order = np.argsort(shingle, kind="stable")
+        row, shingle = row[order], shingle[order]
+        first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])[: len(shingle)])
+        size = np.diff(np.append(first, len(shingle)))
+        old = np.isin(shingle[first], self.shared)
+        known = np.repeat(old | (size > 1), size)
+        new = first[~old & (size > 1)]
+        witness = np.concatenate([new, new + 1])  # a node keeps a shingle once, so these are two nodes
+        count = np.bincount(row[known], minlength=len(nodes))
+        some = np.flatnonzero(count)
+        self.shared = np.sort(np.concatenate([self.shared, shingle[new]])) if len(self.shared) + len(new) <= SHOWN else np.sort(shingle[new])
+        tell = np.concatenate([np.flatnonzero(~known), witness])
+        who = np.concatenate([nodes[row[tell]], nodes[some]]).view(np.int64)
+        number = np.concatenate([np.full(int((~known).sum()), -1), np.zeros(len(witness), np.int64), count[some]])
+        what = pa.array(np.concatenate([shingle[tell], mix64(nodes[some] ^ self.name ^ U(len(self.shared)))]).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(who), what, pa.array(number, pa.int64(), mask=number < 0)], ["node", "shingle", "known"])
+
+
 def _kept(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, shingle): the kept shingles of each document's set; a task gives those of a node once."""
+    """(node, shingle, known) by Company: the kept shingles of each document's set; a task looks at a node once."""
 
     def make():
         shown: set[int] = set()
+        met = Company(TaskContext.get().partitionId())
 
         def apply(batch: pa.RecordBatch):
             for s in slices(batch.column("text"), lower=True):
@@ -253,19 +282,23 @@ def _kept(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
                         nodes.append(c)
                         own.append(small_hashes(x, num, den))
                 if nodes:
-                    rows = np.repeat(np.array(nodes, U), [len(x) for x in own])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64)), pa.array(np.concatenate(own).view(np.int64))], ["node", "shingle"])
+                    yield met.rows(np.array(nodes, U), own)
 
         return apply
 
-    return map_arrow(documents.select("text"), make, "node long, shingle long")
+    return map_arrow(documents.select("text"), make, "node long, shingle long, known long")
 
 
 def _in_company(documents: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, doc_id) of nodes that have the company a link needs, with one document of each."""
-    each, ordered = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("node")
-    rows = _kept(documents, width, num, den).withColumn("__before", F.lag("node").over(ordered)).withColumn("__low", F.min("node").over(each)).withColumn("__high", F.max("node").over(each))
-    shared = rows.where("__low < __high and (__before is null or __before <> node)").groupBy("node").agg(F.count("*").alias("shared"))
+    """(node, doc_id) of nodes that have the company a link needs, with one document of each.
+
+    A node's company is at most the largest number that a task knew and what other tasks add; it may be told too large, never too small.
+    """
+    each, ordered = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("node", F.col("known").asc_nulls_first())
+    rows = _kept(documents, width, num, den)
+    told = rows.withColumn("__before", F.lag("node").over(ordered)).withColumn("__low", F.min("node").over(each)).withColumn("__high", F.max("node").over(each))
+    more = F.col("known").isNull() & (F.col("__low") < F.col("__high")) & (F.col("__before").isNull() | (F.col("__before") != F.col("node")))
+    shared = told.where(more | (F.col("known") > 0)).groupBy("node").agg((F.count_if(more) + F.coalesce(F.max("known"), F.lit(0))).alias("shared"))
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need"))
     return classes.join(shared, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("need")).select("node", "doc_id")
 
@@ -398,11 +431,12 @@ def _tiles(region: DataFrame) -> DataFrame:
     all.  The others stay apart; one of more nodes is dealt into blocks, and each pair of blocks is a tile.
     """
     joined = connected_components(region.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    sized = written(joined.withColumn("size", F.count("*").over(Window.partitionBy("root"))), "joined")
+    joined = written(joined, "joined")
+    sized = written(joined.join(joined.groupBy("root").agg(F.count("*").alias("size")), "root"), "sized")
     together = sized.where(F.col("size") <= REGION).select("node", F.col("root").cast("string").alias("tile"))
     apart = region.join(sized.where(F.col("size") > REGION).select(F.col("node").alias("pivot")), "pivot", "left_semi")
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("pivot")) / REGION).cast("int")
-    dealt = apart.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = apart.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
+    dealt = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return together.unionByName(pairs.select("node", F.format_string("%d:%d:%d", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("tile")))
 
@@ -418,11 +452,12 @@ def components(documents: DataFrame, width: int = 3, num: int = 90, den: int = 1
     live = written(_in_company(documents, sets, width, num, den), "company")
     texts = possibly_in(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", live).join(live, "doc_id").select("node", "text")
     drawn = written(_drawn(texts, width, num, den), "drawn")
-    w = Window.partitionBy("slice")
-    shown = drawn.select(F.explode("slices").alias("slice"), "node").withColumn("pivot", F.min("node").over(w)).withColumn("__last", F.max("node").over(w))
-    region = shown.where("pivot < __last").select("pivot", "node").distinct()
-    region = written(_near_nodes(region.join(drawn.select("node", "n", "sketch"), "node"), num, den).distinct(), "regions")
-    tiles = _tiles(region)
+    shown = drawn.select(F.explode("slices").alias("slice"), "node")
+    pivots = shown.groupBy("slice").agg(F.min("node").alias("pivot"), F.max("node").alias("__last")).where("pivot < __last").drop("__last")
+    region = written(shown.join(pivots, "slice").select("pivot", "node").distinct(), "shown")
+    large = written(region.groupBy("pivot").count().where(F.col("count") > SKETCHED).select("pivot"), "large")
+    near = _near_nodes(region.join(large, "pivot", "left_anti").join(drawn.select("node", "n", "sketch"), "node"), num, den)
+    tiles = _tiles(written(near.unionByName(region.join(large, "pivot", "left_semi")).distinct(), "regions"))
     members = drawn.select("node", "text").join(tiles, "node").select("tile", "node", "text")
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     found = connected_components(_forests(members, width, num, den))
