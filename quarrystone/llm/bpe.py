@@ -11,14 +11,16 @@ long ones in a tree each.  Pieces already seen by a task are looked up.
 
 from __future__ import annotations
 
-import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_arrow
 from .packing import PIECES, byte_symbols, token_bytes
@@ -33,6 +35,8 @@ NONE = (1 << 31) - 1
 ADDED = "\0 "
 #: Characters of text whose new pieces are merged together.
 GROUP = 1 << 20
+#: Bits of an id in the key of a pair; more symbols are refused.
+ID_BITS = 24
 
 
 class Merges:
@@ -52,8 +56,10 @@ class Merges:
         self.of = {(x, y): (r, m) for r, (x, y, m) in enumerate(zip(a, b, made, strict=True))}
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        if max(self.bytes_of) >= 1 << ID_BITS:
+            raise ValueError(f"ids from {1 << ID_BITS} on are not supported")
         # look-up tables of falling size: what collides in one goes to the next
-        key, rank = np.array(a, np.int64) << 16 | np.array(b, np.int64), np.arange(len(a))
+        key, rank = np.array(a, np.int64) << ID_BITS | np.array(b, np.int64), np.arange(len(a))
         self.made, self.levels = np.array(made, np.int32), []
         while len(key):
             bits = max(6, (4 * len(key)).bit_length())
@@ -70,7 +76,7 @@ class Merges:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE if it can't be merged; negative ids are no symbols."""
-        want = np.where((a >= 0) & (b >= 0), a.astype(np.int64) << 16 | b, -2)
+        want = np.where((a >= 0) & (b >= 0), a.astype(np.int64) << ID_BITS | b, -2)
         out = np.full(len(want), NONE, np.int32)
         for bits, keys, ranks in self.levels:
             at = self.slots(want, bits)
@@ -79,23 +85,24 @@ class Merges:
 
 
 def encode_long(piece: bytes, merges: Merges) -> list[int]:
-    """One segment tree in plain lists, for a piece of any length."""
+    """One segment tree in flat arrays (about 30 bytes for each byte), for a piece of any length; a node is rank * size + place."""
     n = len(piece)
     size = 1 << max(0, n - 1).bit_length()
-    symbol = merges.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    of, none = merges.of, (1 << 62, 0)
+    symbol = array("i", merges.byte_id[np.frombuffer(piece, np.uint8)].tolist())
+    after, before = array("i", [*range(1, n), -1]), array("i", range(-1, n - 1))
+    of, none = merges.of, 1 << 62
 
-    def key(i: int) -> tuple[int, int]:
-        j = after[i]
-        return (of.get((symbol[i], symbol[j]), none)[0], i) if j >= 0 else none
+    def key(i: int) -> int:
+        pair = of.get((symbol[i], symbol[after[i]])) if after[i] >= 0 else None
+        return none if pair is None else pair[0] * size + i
 
-    tree = [none] * (2 * size)
-    tree[size : size + n] = [key(i) for i in range(n)]
+    tree = array("q", [none]) * (2 * size)
+    for i in range(n):
+        tree[size + i] = key(i)
     for k in range(size - 1, 0, -1):
         tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
-    def put(i: int, value: tuple[int, int]) -> None:
+    def put(i: int, value: int) -> None:
         k = size + i
         tree[k] = value
         while k > 1:
@@ -105,8 +112,8 @@ def encode_long(piece: bytes, merges: Merges) -> list[int]:
                 break
             tree[k] = low
 
-    while tree[1][0] < none[0]:
-        i = tree[1][1]
+    while tree[1] < none:
+        i = tree[1] % size
         j = after[i]
         symbol[i] = of[symbol[i], symbol[j]][1]
         after[i] = after[j]
@@ -177,9 +184,8 @@ class Codec:
         self.merges = Merges(path)
         self.pieces = regex.compile(PIECES)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True))) + ")") if self.merges.added else None
-        self.digits = {i: str(i) for i in self.merges.bytes_of}
         self.long: list[str] = []  # known until other pieces are learned
-        self.known: dict[str, tuple[str, bytes]] = {}  # ids in decimal, comma-joined, and their bytes
+        self.known: dict[str, list[int]] = {}
 
     def learn(self, pieces: set[str]) -> None:
         """Remembers the encoding of each of these pieces."""
@@ -193,20 +199,18 @@ class Codec:
         by: dict[int, list[str]] = {}
         for p in new:
             if p.startswith(ADDED) and p[len(ADDED) :] in self.merges.added:
-                i = self.merges.added[p[len(ADDED) :]]
-                self.known[p] = str(i), self.merges.bytes_of[i]
+                self.known[p] = [self.merges.added[p[len(ADDED) :]]]
             else:
                 by.setdefault(SIZE_CLASS[len(p)] if p.isascii() and len(p) <= SHORT else -1, []).append(p)
         rest = by.pop(-1, [])
         for p in rest:
             n = len(p.encode("utf-8", "replace"))
             by.setdefault(SIZE_CLASS[n] if n <= SHORT else 99, []).append(p)
-        of, digits = self.merges.bytes_of, self.digits
         self.long = by.get(99, [])
         for kind, group in by.items():
             raw = [p.encode("utf-8", "replace") for p in group]
             got = [encode_long(b, self.merges) for b in raw] if kind == 99 else encode_short(raw, self.merges)
-            self.known.update(zip(group, [(",".join([digits[i] for i in ids]), b"".join([of[i] for i in ids])) for ids in got], strict=True))
+            self.known.update(zip(group, got, strict=True))
 
     def parts(self, text: str) -> list[str]:
         """Pieces of a text; added tokens stand as pieces of their own, remembered under their text."""
@@ -218,28 +222,18 @@ class Codec:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.parts(text or "")
-        self.learn({*pieces})
-        return [int(i) for p in pieces for i in self.known[p][0].split(",")]
+        return self.encode_all([text or ""])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of some texts, whose new pieces are merged together."""
+        parts = [self.parts(t) for t in texts]
+        self.learn(set().union(*parts))
+        known = self.known
+        return [[*chain.from_iterable([known[p] for p in pieces])] for pieces in parts]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that aren't UTF-8 become replacement characters."""
-        return b"".join([self.merges.bytes_of[i] for i in ids]).decode("utf-8", "replace")
-
-
-def encode_documents(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids, decoded): ids of each whole text and the text they decode to; null is empty."""
-
-    def make():
-        codec = Codec(tokenizer)
-
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids])], ["doc_id", "ids", "decoded"])
-
-        return apply
-
-    return map_arrow(documents.select("doc_id", "text"), make, "doc_id long, ids array<int>, decoded string")
+        return b"".join(map(self.merges.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def groups(texts: pa.Array) -> Iterator[list[str]]:
@@ -255,30 +249,25 @@ def groups(texts: pa.Array) -> Iterator[list[str]]:
         yield group
 
 
-def digest_documents(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode_documents gives, without sending ids to the JVM.
-
-    Ids and decoded bytes of remembered pieces are joined as they are.
-    """
+def encode_documents(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids, decoded): ids of each whole text and the text they decode to; null is empty."""
 
     def make():
         codec = Codec(tokenizer)
 
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, a, b = [], [], []
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at = 0
             for group in groups(batch.column("text")):
-                parts = [codec.parts(t) for t in group]
-                codec.learn(set().union(*parts))
-                known = codec.known
-                for pieces in parts:
-                    pairs = [known[p] for p in pieces]
-                    own = ",".join([x for x, _ in pairs])
-                    raw = b"".join([x for _, x in pairs])
-                    n.append(own.count(",") + 1 if own else 0)
-                    a.append(hashlib.sha256(own.encode()).hexdigest())
-                    b.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = codec.encode_all(group)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(group)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+                at += len(group)
 
         return apply
 
-    return map_arrow(documents.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(documents.select("doc_id", "text"), make, "doc_id long, ids array<int>, decoded string")
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode_documents gives."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -56,7 +56,7 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
