@@ -19,17 +19,17 @@ BLOCK = 32
 RUN_BYTES = 1 << 15
 
 
-def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def layout(data: np.ndarray, offsets: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Bytes padded so that each text starts a block, and each text's first block (n + 1 of them).
 
-    Even an empty text has one block, of zeros.
+    ``gap`` zeros at least follow a text in its blocks, so that filters may stay within them.  Even an empty text has one block.
     """
-    sizes = np.diff(offsets)
+    sizes = np.diff(offsets) + gap
     blocks = np.maximum(1, -(-sizes // BLOCK))
     first = np.concatenate([[0], np.cumsum(blocks)])
     out = np.zeros(first[-1] * BLOCK, np.uint8)
-    at = np.repeat(first[:-1] * BLOCK - offsets[:-1], sizes)
-    out[np.arange(offsets[0], offsets[-1]) + at] = data[offsets[0] : offsets[-1]]
+    for at, a, b in zip((first[:-1] * BLOCK).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out[at : at + b - a] = data[a:b]
     return out, first
 
 
@@ -67,13 +67,15 @@ class FilterBank:
         parts = [sum(t[k].take(b[k : k + n], 0) for k in range(len(t))) for t in self.tables]
         return parts[0] if len(parts) == 1 else np.concatenate(parts, 1)
 
-    def block_max(self, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Per block the largest response of each filter, with its position if asked."""
+    def block_max(self, data: np.ndarray, last: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Per block the largest response of each filter, with its position if asked; in ``last`` blocks (of texts) filters stay within."""
         padded = np.concatenate([data, np.zeros(self.reach + 1, np.uint8)])
         best, at = [], []
         for i in range(0, len(data), RUN_BYTES):
             n = min(RUN_BYTES, len(data) - i)
             r = self.responses(padded[i : i + n + self.reach + 1], n).reshape(n // BLOCK, BLOCK, -1)
+            own = last[np.searchsorted(last, i // BLOCK) : np.searchsorted(last, (i + n) // BLOCK)] - i // BLOCK
+            r[own, BLOCK - self.reach + 1 :] = -np.inf
             if where:
                 k = r.argmax(1)
                 at.append(k + (i + BLOCK * np.arange(len(k)))[:, None])
@@ -159,8 +161,8 @@ class ConvNet:
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Class probabilities of each text, from all of its bytes."""
-        laid, first = layout(data, offsets)
-        pooled, _ = self.bank.block_max(laid)
+        laid, first = layout(data, offsets, self.bank.reach - 1)
+        pooled, _ = self.bank.block_max(laid, first[1:] - 1)
         start, end, begin = chunk_bounds(first, self.blocks, self.step)
         v = segment_max(pooled, start, end)
         if self.per_chunk:
@@ -185,8 +187,8 @@ class ConvNet:
         return self
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        laid, first = layout(data, offsets)
-        pooled, at = self.bank.block_max(laid, where=True)
+        laid, first = layout(data, offsets, self.bank.reach - 1)
+        pooled, at = self.bank.block_max(laid, first[1:] - 1, where=True)
         start, end, begin = chunk_bounds(first, self.blocks, self.step)
         row = segment_argmax(pooled, start, end)
         v, pos = np.take_along_axis(pooled, row, 0), np.take_along_axis(at, row, 0)
@@ -207,7 +209,8 @@ class ConvNet:
             dv = dx
         else:
             f = v.shape[1]
-            top = v == x[owner, f:]
+            top = (v == x[owner, f:]).astype(np.float32)  # overlapping chunks may share the largest response
+            top /= np.add.reduceat(top, begin[:-1], 0)[owner]
             dv = dx[owner, :f] / count[owner, None] + dx[owner, f:] * top
         dv = dv * (v > 0)
         out, f0 = [], 0

@@ -20,8 +20,12 @@ from .words import string_buffers
 
 #: Labelled rows the quality network is fitted on, at most; those with the least hash of doc_id.
 QUALITY_ROWS = 4000
-#: Rows per language that the language network is fitted on, at most.
-LANGUAGE_ROWS = 500
+#: Rows per language that the language network is fitted on, at most, and how many languages, the most frequent ones.
+LANGUAGE_ROWS, LANGUAGES = 500, 100
+#: Bytes of a text that is learned from, and of all of them, at most: longer ones are scored like any other, but not learned from.
+TEXT_BYTES, SAMPLE_BYTES = 1 << 16, 1 << 25
+#: How many times the rows wanted a first sieve by hash lets through.
+SPARE = 8
 #: A text is predicted to be good from this score on.
 ACCEPT = 0.7
 #: Texts scored at once.
@@ -50,10 +54,23 @@ def _probabilities(net: ConvNet, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sample(documents: DataFrame, chosen: DataFrame, rows: int) -> list:
-    """(doc_id, y, text) of the chosen ids; ``chosen`` holds ``rows`` rows at most, so it may be broadcast."""
-    got = documents.select("doc_id", "text").join(F.broadcast(chosen.limit(rows)), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
-    return sorted(got, key=lambda r: (r.doc_id, r.text, str(r.y)))[: 4 * rows]
+def _least(rows: DataFrame, wanted: int, of: Column) -> DataFrame:
+    """A sieve: of about ``of`` rows SPARE times the wanted number, those with the least hash of doc_id."""
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * wanted)) / of)
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def _sample(documents: DataFrame, chosen: DataFrame) -> list:
+    """(doc_id, y, text) of the chosen (doc_id, y), a bounded number of rows, so that they may be broadcast.
+
+    Of the rows of one id the least text counts; null texts and those over TEXT_BYTES are left out, as is what comes
+    (in the order of hashed ids) when SAMPLE_BYTES are reached.
+    """
+    texts = documents.select("doc_id", "text").where(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y"))
+    got = one.withColumn("__bytes", so_far).where(F.col("__bytes") <= SAMPLE_BYTES).select("doc_id", "y", "text").collect()
+    return sorted(got, key=lambda r: (r.doc_id, r.text, str(r.y)))
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = QUALITY_ROWS) -> ConvNet | float:
@@ -61,8 +78,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = QUALITY_ROW
 
     With labels of one kind only, that kind's constant score; without any, 1.0.
     """
-    usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out())
-    got = _sample(documents, usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows), rows)
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()).distinct()
+    chosen = _least(usable, rows, F.lit(max(1, usable.count()))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    got = _sample(documents, chosen)
     y = np.array([r.y for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 1.0
@@ -95,15 +113,16 @@ def quality_scores(df: DataFrame, model: ConvNet | float, text: str = "text", sc
 
 def fit_language(documents: DataFrame, rows_per_language: int = LANGUAGE_ROWS) -> tuple[list[str], ConvNet | None]:
     """Languages and a network over them, from rows with text and language that are not held out."""
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").alias("y"))
+    usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("lang").alias("y"))
+    counts = usable.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES)
+    counts = documents.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    some = _least(usable.join(F.broadcast(counts), "y"), rows_per_language, F.col("n")).select("doc_id", "y").distinct()
     w = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows_per_language).drop("k")
-    got = chosen.collect()
+    chosen = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows_per_language).drop("k")
+    got = _sample(documents, chosen)
     languages = sorted({r.y for r in got})
     if not got:
         return [], None
-    chosen = documents.sparkSession.createDataFrame(got, chosen.schema)
-    got = _sample(documents, chosen, rows_per_language * len(languages))
     net = ConvNet.random(widths=(2, 3, 4), filters=8, hidden=16, classes=len(languages), blocks=8, step=8, per_chunk=True, seed=1)
     return languages, net.fit(*_packed([r.text for r in got]), np.array([languages.index(r.y) for r in got]), epochs=6, batch=32, rate=0.01, seed=2)
 

@@ -74,13 +74,13 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
 
 
 @contextmanager
-def tables_dropped(spark: SparkSession):
-    """Tables that are written() within are deleted at the end; what depends on them must be stored elsewhere by then."""
+def tables_dropped(spark: SparkSession, but: list[str]):
+    """Tables that are written() within are deleted at the end, but for those in the list ``but``; what depends on the others must be stored by then."""
     _within.open = [*getattr(_within, "open", []), []]
     try:
         yield
     finally:
-        drop_tables(spark, _within.open.pop())
+        drop_tables(spark, [x for x in _within.open.pop() if x not in but])
 
 
 #: Rows of an Arrow batch of texts; Spark's default suits short rows.

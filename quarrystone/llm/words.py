@@ -106,8 +106,14 @@ class Slice:
         self.starts = np.flatnonzero(~gap & before)
         self.ends = np.flatnonzero(~gap & after) + 1
         self.word_at = np.searchsorted(self.starts, offsets)
-        h = range_hash(_CODES[lower][data], self.starts, self.ends, _BYTE_POWERS)
-        self.hashes = mix64(h + (self.ends - self.starts).astype(U) * U(0x9E3779B97F4A7C15))
+        self.hashes = np.empty(len(self.starts), U)
+        at = 0
+        while at < len(self.starts):  # whole words, about SLICE_BYTES at a time
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + SLICE_BYTES, "right")))
+            a, s, e = self.starts[at], self.starts[at:to], self.ends[at:to]
+            h = range_hash(_CODES[lower][data[a : e[-1]]], s - a, e - a, _BYTE_POWERS)
+            self.hashes[at:to] = mix64(h + (e - s).astype(U) * U(0x9E3779B97F4A7C15))
+            at = to
 
     def text(self, i: int) -> tuple[int, int]:
         """Bounds of the words of the i-th text."""

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quarrystone.llm import bpe, classify, common, embeddings, jaccard, packing, pii, secret_scan, substrings
+from quarrystone.llm import bpe, byteconv, classify, common, embeddings, jaccard, packing, pii, secret_scan, substrings
 from quarrystone.llm.common import connected_components, possibly_in
 from quarrystone.llm.queries import QUERIES, tokenizer_path
 
@@ -75,6 +75,101 @@ def test_no_letters(spark, awkward_path):
     assert {got[k].lang_pred for k in (0, 1, 7, 9)} == {"und"} and got[8].lang_pred != "und"
 
 
+def small_net(per_chunk):
+    net = byteconv.ConvNet.random(widths=(2, 3, 4), filters=3, hidden=4, classes=3, blocks=3, step=2, per_chunk=per_chunk, seed=3)
+    net.bank.bias[:] = np.random.default_rng(4).normal(size=len(net.bank.bias)).astype(np.float32) * 0.1
+    return net
+
+
+def texts_of(seed):
+    rng = np.random.default_rng(seed)
+    return [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (0, 1, 5, 31, 32, 33, 64, 95, 96, 97, 700, 3000)]
+
+
+def packed_texts(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def naive_probabilities(net, text):
+    """One text by plain loops: convolution, pooling to blocks and chunks, head, softmax."""
+    reach = max(len(t) for t in net.bank.tables)
+    n = max(1, -(-(len(text) + reach - 1) // byteconv.BLOCK))
+    data = text + bytes(n * byteconv.BLOCK - len(text) + reach)
+    pooled = []
+    for k in range(n):
+        best = [-math.inf] * len(net.bank.bias)
+        for i in range(k * byteconv.BLOCK, min((k + 1) * byteconv.BLOCK, n * byteconv.BLOCK - reach + 1)):
+            r = [sum(float(t[j, data[i + j], f]) for j in range(len(t))) for t in net.bank.tables for f in range(t.shape[2])]
+            best = [max(a, b) for a, b in zip(best, r, strict=True)]
+        pooled.append([max(0.0, a + float(b)) for a, b in zip(best, net.bank.bias, strict=True)])
+    chunks, at = [], 0
+    while True:
+        chunks.append([max(c) for c in zip(*pooled[at : at + net.blocks], strict=True)])
+        if at + net.blocks >= n:
+            break
+        at += net.step
+
+    def head(x):
+        h = np.maximum(np.array(x) @ net.w1 + net.b1, 0)
+        e = np.exp(h @ net.w2 + net.b2)
+        return e / e.sum()
+
+    if net.per_chunk:
+        return np.mean([head(c) for c in chunks], 0)
+    return head([*np.mean(chunks, 0), *np.max(chunks, 0)])
+
+
+@pytest.mark.parametrize("per_chunk", [False, True])
+def test_network_equals_plain_loops(per_chunk):
+    net, texts = small_net(per_chunk), texts_of(5)
+    want = np.array([naive_probabilities(net, t) for t in texts])
+    assert np.abs(net.probabilities(*packed_texts(texts)) - want).max() < 1e-5
+    net.bank.compiled()
+    assert np.abs(net.probabilities(*packed_texts(texts)) - want).max() < 1e-5
+    back = texts[::-1]  # a text's score doesn't depend on its neighbours
+    assert np.abs(net.probabilities(*packed_texts(back))[::-1] - want).max() < 1e-5
+
+
+@pytest.mark.parametrize("per_chunk", [False, True])
+def test_gradients_equal_differences(per_chunk):
+    net, texts = small_net(per_chunk), texts_of(6)
+    data, offsets = packed_texts(texts)
+    y = np.arange(len(texts)) % 3
+
+    def loss():
+        net.bank.pairs = []
+        if not per_chunk:
+            return -np.log(net.probabilities(data, offsets)[np.arange(len(y)), y].astype(float)).mean()
+        laid, first = byteconv.layout(data, offsets, net.bank.reach - 1)
+        pooled, _ = net.bank.block_max(laid, first[1:] - 1)
+        start, end, begin = byteconv.chunk_bounds(first, net.blocks, net.step)
+        p = net.head(byteconv.segment_max(pooled, start, end))[1].astype(float)
+        each = -np.log(p[np.arange(len(p)), np.repeat(y, np.diff(begin))])
+        return np.mean(np.add.reduceat(each, begin[:-1]) / np.diff(begin))
+
+    grads = net.gradients(data, offsets, y)
+    params = [*net.bank.tables, net.bank.bias, net.w1, net.b1, net.w2, net.b2]
+    for p, g in zip(params, grads, strict=True):
+        for at in np.argsort(-np.abs(g).ravel(), kind="stable")[:4].tolist():
+            before, e = p.ravel()[at], 1e-3
+            p.ravel()[at] = before + e
+            high = loss()
+            p.ravel()[at] = before - e
+            low = loss()
+            p.ravel()[at] = before
+            assert abs((high - low) / (2 * e) - g.ravel()[at]) < 0.02 * np.abs(g).max() + 2e-4
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    rows = [(k, "word " * 50, "en" if k % 3 else "de") for k in range(300)] + [(5, "other", "en")] * 3 + [(400, "x" * 70_000, "fr"), (401, None, "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = docs.select("doc_id", classify.F.col("lang").alias("y")).distinct()
+    got = classify._sample(docs, chosen)
+    assert len(got) == 300 and not {400, 401} & {r.doc_id for r in got} and next(r.text for r in got if r.doc_id == 5) == "other"
+    monkeypatch.setattr(classify, "SAMPLE_BYTES", 1000)
+    assert 0 < sum(len(r.text) for r in classify._sample(docs, chosen)) <= 1000
+
+
 # 3 -----------------------------------------------------------------------------------------------
 
 

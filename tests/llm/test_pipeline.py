@@ -90,6 +90,15 @@ def test_packed_ids_are_those_of_the_texts(kept):
     assert got == {k: [*exact.encode(t, add_special_tokens=False).ids, 1] for k, t in texts(kept[3]).items()}
 
 
-def test_run(spark, kept):
+def test_run(spark, kept, monkeypatch, tmp_path):
+    """The rows are those of the stages one by one; what remains in the shared folder is the result."""
     assert corpus_pipeline.ORACLE_SQL is None
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()))[:1] != []
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        got = corpus_pipeline.run(spark, SF)
+        rows = lambda df: sorted(zip(*[df.groupBy("doc_id").sum("length").toPandas()[c] for c in ("doc_id", "sum(length)")], strict=True))
+        assert rows(got) == rows(kept[4]) != []
+        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["packing"]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)

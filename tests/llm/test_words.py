@@ -48,3 +48,10 @@ def test_windows():
     for width in (1, 2, 5, 31):
         assert words.sliding_argmin(v, width).tolist() == [i + int(v[i : i + width].argmin()) for i in range(len(v) - width + 1)]
     assert len(words.rolling_hash(v[:3], 7)) == 0 and len(words.sliding_argmin(v[:3], 7)) == 0
+
+
+def test_hashes_do_not_depend_on_runs(monkeypatch):
+    text = pa.array(["some words " * 40 + "x" * 500 + " end", "", " a"])
+    whole = next(words.slices(text)).hashes
+    monkeypatch.setattr(words, "SLICE_BYTES", 64)
+    assert np.concatenate([s.hashes for s in words.slices(text)]).tolist() == whole.tolist()
