@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm import classify, jaccard, packing, pii, substrings
-from quarrystone.llm.common import written
+from quarrystone.llm.common import tables_dropped, written
 from quarrystone.llm.queries import table, tokenizer_path
 
 
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; tables that a stage needed are deleted when its result is stored."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with tables_dropped(spark, but=last):
+            docs = written(stage(spark, docs, sf_dir), name, last)
     return docs
