@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from ..ship import ship
 
 
+#: Folders of applications on a local master that name none.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -25,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not own:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", own)
+        own = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _local[spark.sparkContext.applicationId] = own
     return own
 
 

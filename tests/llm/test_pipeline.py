@@ -4,12 +4,13 @@ import re
 import struct
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarrystone.llm import pii
+from quarrystone.llm import common, pii
 from quarrystone.llm.queries import QUERIES, table, tokenizer_path
 
 from .test_operators import brute_components, brute_pii, brute_repeats, sha
@@ -93,12 +94,20 @@ def test_packed_ids_are_those_of_the_texts(kept):
 def test_run(spark, kept, monkeypatch, tmp_path):
     """The rows are those of the stages one by one; what remains in the shared folder is the result."""
     assert corpus_pipeline.ORACLE_SQL is None
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        got = corpus_pipeline.run(spark, SF)
-        rows = lambda df: sorted(zip(*[df.groupBy("doc_id").sum("length").toPandas()[c] for c in ("doc_id", "sum(length)")], strict=True))
-        assert rows(got) == rows(kept[4]) != []
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["packing"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    got = corpus_pipeline.run(spark, SF)
+    rows = lambda df: sorted(map(tuple, df.groupBy("doc_id").sum("length").collect()))
+    assert rows(got) == rows(kept[4]) != []
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["packing"]
+
+
+def test_shared_folder():
+    """Where spark.checkpoint.dir is unset, only a local master gets a folder."""
+    context = SimpleNamespace(master="local[2]", applicationId="a")
+    session = SimpleNamespace(conf={}, sparkContext=context)
+    assert common.shared_dir(session) == common.shared_dir(session)
+    context.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(session)
+    session.conf = {"spark.checkpoint.dir": "hdfs:///x"}
+    assert common.shared_dir(session) == "hdfs:///x"
