@@ -5,7 +5,6 @@ A query's name starts with the operator's id.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -19,7 +18,9 @@ from pyspark.sql.window import Window
 from .config import KIND_DIR, Settings
 from .functions import cdc, codecs, scalars
 from .operators import audit, blocks, coalesce, dedup, dml, gc, namespace, packs, reads, snapshots
+from .operators.order import numbered_pages, ranked
 from .plans import repack, stats, write_path
+from .shared import new_path, stored
 from .ship import ship
 from .sources import bootstrap, tables
 from .sources.store import BLOCK, FILE0, PACKS, PRELUDE, Store
@@ -99,10 +100,12 @@ def s9_last_entry(s):
     return packs.last_entries(s.pack_index).select("pack_id", "hash", "offset")
 
 
-@query("SELECT count(*) FILTER (hash NOT LIKE '%3') AS valid, count(*) FILTER (hash LIKE '%3') AS invalid FROM (SELECT *, row_number() OVER (ORDER BY epoch, hash) AS pos FROM discards) WHERE pos < 400")
+@query("SELECT count(*) FILTER (hash NOT LIKE '%3') AS valid, count(*) FILTER (hash LIKE '%3') AS invalid FROM discards WHERE epoch = 1")
 def s10_discard_read(s):
-    log = s.discards.orderBy("epoch", "hash").limit(400).withColumn("pos", F.row_number().over(Window.orderBy("epoch", "hash")))
-    return gc.split_log(log, 400, ~F.col("hash").like("%3"))[1]
+    """The log up to the checkpoint that the first append left; records whose checksum is wrong are counted only."""
+    log = ranked(s.discards, ["epoch", "hash"], "pos")
+    checkpoint = log.where("epoch = 1").count() + 1
+    return gc.split_log(log, checkpoint, ~F.col("hash").like("%3"))[1]
 
 
 @query("SELECT row_number() OVER (ORDER BY r, name) - 1 AS pos, name, ino FROM (SELECT 0 AS r, '.' AS name, 1 AS ino UNION ALL SELECT 1, '..', 1 UNION ALL SELECT 2, name, ino FROM dirents WHERE parent = 1 AND ino IN (SELECT ino FROM inodes))")
@@ -136,10 +139,7 @@ def s15_settings(s):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{own.rstrip('/')}/{uuid.uuid4().hex}" if own else tempfile.mkdtemp()
+    return new_path(spark, "store")
 
 
 @query("SELECT count(*) AS n, CAST(sum(refcount) AS BIGINT) AS refs FROM chunks WHERE hash NOT LIKE '1%'")
@@ -369,16 +369,17 @@ def p29_p30_discard_records(s):
 HEXPAD = f"rpad({{}}, {2 * BLOCK}, '0')"
 
 
-@query(f"SELECT ino, 0 AS block_idx, md5(unhex(substr({HEXPAD.format('substr(h, 1, 2048)')}, 1, 200) || '58595A' || substr({HEXPAD.format('substr(h, 1, 2048)')}, 207))) AS hash FROM raw WHERE n > 0")
+BLOCKS_SQL = f", b AS (SELECT ino, block_idx, {HEXPAD.format(f'substr(h, block_idx * {2 * BLOCK} + 1, {2 * BLOCK})')} AS h FROM (SELECT *, unnest(range(0, (n + {BLOCK - 1}) // {BLOCK})) AS block_idx FROM raw))"
+
+
+@query(BLOCKS_SQL + " SELECT ino, block_idx, md5(unhex(substr(h, 1, 200) || '58595A' || substr(h, 207))) AS hash FROM b")
 def p31_overlay(s):
-    first = s.blocks.where("block_idx = 0")
-    return first.select("ino", F.lit(0).alias("block_idx"), F.md5(blocks.patched(F.col("data"), F.lit(b"XYZ"), F.lit(100), BLOCK)).alias("hash"))
+    return s.blocks.select("ino", "block_idx", F.md5(blocks.patched(F.col("data"), F.lit(b"XYZ"), F.lit(100), BLOCK)).alias("hash"))
 
 
-@query(f"SELECT ino, md5(unhex({HEXPAD.format('substr(h, 1, 200)')})) AS cut, md5(unhex({HEXPAD.format('substr(h, 1, 2048)')})) AS padded FROM raw WHERE n > 0")
+@query(BLOCKS_SQL + f" SELECT ino, block_idx, md5(unhex({HEXPAD.format('substr(h, 1, 200)')})) AS cut, md5(unhex(h)) AS padded FROM b")
 def p32_pad_and_cut(s):
-    first = s.blocks.where("block_idx = 0")
-    return first.select("ino", F.md5(blocks.truncated(F.col("data"), F.lit(100), BLOCK)).alias("cut"), F.md5(blocks.padded(F.col("data"), BLOCK)).alias("padded"))
+    return s.blocks.select("ino", "block_idx", F.md5(blocks.truncated(F.col("data"), F.lit(100), BLOCK)).alias("cut"), F.md5(blocks.padded(F.col("data"), BLOCK)).alias("padded"))
 
 
 @query("SELECT * FROM (VALUES ('snap-01', true), ('', false), ('.', false), ('..', false), ('team/snap', false), ('prod.backup', true)) AS t(name, ok)", prelude=False)
@@ -389,9 +390,10 @@ def p33_names(s):
 # Filters -----------------------------------------------------------------------------------------
 
 
-@query("SELECT hash, pack_id, clen, m AS next_cursor FROM (SELECT *, max(hash) OVER () AS m FROM (SELECT * FROM chunks WHERE hash > '2' ORDER BY hash LIMIT 700)) WHERE refcount = 0")
+@query("SELECT hash, pack_id, clen, next_cursor FROM (SELECT *, max(hash) OVER (PARTITION BY page) AS next_cursor FROM (SELECT *, (row_number() OVER (ORDER BY hash) - 1) // 700 AS page FROM chunks)) WHERE refcount = 0")
 def f1_o3_zero_ref_scan(s):
-    return gc.zero_ref_scan(s.chunks, "2", 700)
+    """The whole scan, in pages of 700 keys."""
+    return gc.zero_ref_pages(s.chunks, 700)
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (refcount = 0) AS dead FROM chunks WHERE NOT (refcount = 0 AND hash < '8')")
@@ -419,16 +421,16 @@ def a11_n4_dead_bytes(s):
     return gc.dead_bytes(s.discards, s.pack_index).withColumn("percent", F.round("percent", 9))
 
 
-LOCKS = "SELECT doc_id % 50 AS ino, doc_id AS owner, (doc_id * 7919) % 1000 AS start, (doc_id * 7919) % 1000 + 15 AS \"end\", CASE WHEN doc_id % 3 = 0 THEN 'w' ELSE 'r' END AS typ FROM documents"
+LOCKS = "SELECT doc_id // 20 AS ino, doc_id AS owner, (doc_id * 7919) % 100 AS start, (doc_id * 7919) % 100 + 15 AS \"end\", CASE WHEN doc_id % 3 = 0 THEN 'w' ELSE 'r' END AS typ FROM documents"
 
 
 def locks(s) -> DataFrame:
-    return s.documents.selectExpr("doc_id % 50 as ino", "doc_id as owner", "(doc_id * 7919) % 1000 as start", "(doc_id * 7919) % 1000 + 15 as end", "case when doc_id % 3 = 0 then 'w' else 'r' end as typ")
+    return s.documents.selectExpr("doc_id div 20 as ino", "doc_id as owner", "(doc_id * 7919) % 100 as start", "(doc_id * 7919) % 100 + 15 as end", "case when doc_id % 3 = 0 then 'w' else 'r' end as typ")
 
 
 @query(f"WITH l AS ({LOCKS}) SELECT a.ino, a.owner, b.owner AS other FROM l a JOIN l b ON a.ino = b.ino AND a.owner < b.owner AND a.start <= b.\"end\" AND b.start <= a.\"end\" AND (a.typ = 'w' OR b.typ = 'w')", prelude=False)
 def f5_f6_j15_lock_conflicts(s):
-    return coalesce.conflicts(locks(s))
+    return coalesce.conflicts(locks(s), 32)
 
 
 @query("SELECT ino, CASE WHEN uid = 1002 THEN (perm // 64) & 6 = 6 WHEN gid IN (100, 102) THEN (perm // 8) & 6 = 6 ELSE perm & 6 = 6 END AS granted FROM inodes")
@@ -461,7 +463,7 @@ def j1_dedup_probe(s):
     return dedup.new_hashes(s.extents, s.chunks.where("pack_id <= 12")).select("hash")
 
 
-WRITES_SQL = f""", w AS (SELECT doc_id, {FILE0} + doc_id AS ino, 1000 AS off FROM documents WHERE doc_id % 5 = 2),
+WRITES_SQL = f""", w AS (SELECT doc_id, {FILE0} + doc_id AS ino, 1000 AS off FROM documents),
 touched AS (SELECT ino, unnest([0, 1]) AS block_idx FROM w),
 old AS (SELECT t.ino, t.block_idx, e.hash AS old_hash, {HEXPAD.format("coalesce(CASE WHEN e.hash IS NULL THEN '' ELSE substr(r.h, CAST(t.block_idx * 2048 + 1 AS BIGINT), 2048) END, '')")} AS h
   FROM touched t LEFT JOIN extents e ON e.ino = t.ino AND e.block_idx = t.block_idx LEFT JOIN raw r ON r.ino = t.ino),
@@ -469,8 +471,8 @@ neu AS (SELECT ino, block_idx, old_hash, md5(unhex(CASE block_idx WHEN 0 THEN su
 
 
 def fifty_bytes(s) -> DataFrame:
-    """Writes of 50 bytes across the border of the first two blocks."""
-    return s.documents.where("doc_id % 5 = 2").select(F.col("doc_id").alias("seq"), (F.col("doc_id") + FILE0).alias("ino"), F.lit(1000).cast("bigint").alias("offset"), F.lit(b"Q" * 50).alias("data"))
+    """A write of 50 bytes to each file, across the border of its first two blocks."""
+    return s.documents.select(F.col("doc_id").alias("seq"), (F.col("doc_id") + FILE0).alias("ino"), F.lit(1000).cast("bigint").alias("offset"), F.lit(b"Q" * 50).alias("data"))
 
 
 def stored_blocks(s) -> DataFrame:
@@ -496,15 +498,15 @@ def a2_apply_deltas(s):
     return dedup.apply_deltas(s.chunks.select("hash", "refcount"), deltas)
 
 
-@query("SELECT c.hash, CAST(refcount + coalesce(n, 0) AS BIGINT) AS refcount FROM chunks c LEFT JOIN (SELECT hash, count(*) AS n FROM extents WHERE ino % 2 = 0 GROUP BY hash) e ON e.hash = c.hash")
+@query("SELECT c.hash, CAST(refcount + coalesce(n, 0) AS BIGINT) AS refcount FROM chunks c LEFT JOIN (SELECT hash, count(*) AS n FROM extents GROUP BY hash) e ON e.hash = c.hash")
 def a3_apply_strict(s):
-    added = snapshots.added_refs(s.extents.where("ino % 2 = 0").join(s.chunks.select("hash"), "hash", "left_semi"))
+    added = snapshots.added_refs(s.extents.join(s.chunks.select("hash"), "hash", "left_semi"))
     return dedup.apply_deltas_strict(s.chunks.select("hash", "refcount"), added)
 
 
-@query("SELECT c.hash, CAST(greatest(refcount - coalesce(n, 0), 0) AS BIGINT) AS refcount FROM chunks c LEFT JOIN (SELECT hash, count(*) AS n FROM extents WHERE ino % 3 = 0 GROUP BY hash) e ON e.hash = c.hash")
+@query("SELECT c.hash, CAST(greatest(refcount - coalesce(n, 0), 0) AS BIGINT) AS refcount FROM chunks c LEFT JOIN (SELECT hash, count(*) AS n FROM extents GROUP BY hash) e ON e.hash = c.hash")
 def a4_decrement(s):
-    return dedup.apply_deltas(s.chunks.select("hash", "refcount"), dedup.decrements(s.extents.where("ino % 3 = 0")))
+    return dedup.apply_deltas(s.chunks.select("hash", "refcount"), dedup.decrements(s.extents))
 
 
 @query("SELECT e.ino, e.block_idx, c.pack_id, c.clen FROM extents e JOIN chunks c ON c.hash = e.hash")
@@ -530,9 +532,10 @@ def j6_small_files(s):
     return s.extents.join(small, "ino", "left_semi").join(s.chunks.select("hash", "clen"), "hash").groupBy("ino").agg(F.count("*").alias("blocks"), F.sum("clen").alias("clen"))
 
 
-@query("SELECT r.ino, CAST(900 AS BIGINT) AS \"offset\", md5(unhex(substr(h, 1801, 600))) AS digest FROM raw r JOIN inodes i ON i.ino = r.ino WHERE r.ino % 3 = 0")
+@query("SELECT r.ino, o AS \"offset\", md5(unhex(CASE o WHEN 0 THEN h ELSE substr(h, 1801, 600) END)) AS digest FROM raw r JOIN inodes i ON i.ino = r.ino, (VALUES (CAST(0 AS BIGINT)), (CAST(900 AS BIGINT))) AS v(o)")
 def j7_read_range(s):
-    wanted = s.files.where("ino % 3 = 0").select("ino", F.lit(900).cast("bigint").alias("offset"), F.lit(300).cast("bigint").alias("length"))
+    """Every file whole, and 300 bytes of each from byte 900."""
+    wanted = s.files.selectExpr("ino", "inline(array(struct(0L as offset, n as length), struct(900L as offset, 300L as length)))")
     payloads = s.blocks.select(F.md5("data").alias("hash"), "data").dropDuplicates(["hash"])
     return reads.read_range(wanted, s.inodes, s.extents, payloads, BLOCK).select("ino", "offset", F.md5("data").alias("digest"))
 
@@ -557,9 +560,9 @@ def j12_orphan_dirents(s):
     return audit.orphan_dirents(s.dirents, s.inodes).select("parent", "name", "ino")
 
 
-@query("SELECT '/' || lang || '/' || source || '/' || doc_id AS path, ino FROM f WHERE doc_id % 40 = 1 UNION ALL SELECT '/' || lang || '/./' || source || '/../nowhere', NULL FROM f WHERE doc_id % 40 = 2")
+@query("SELECT '/' || lang || '/' || source || '/' || doc_id AS path, ino FROM f UNION ALL SELECT '/' || lang || '/./' || source || '/../nowhere', NULL FROM f")
 def j14_resolve_paths(s):
-    paths = s.files.where("doc_id % 40 = 1").selectExpr("'/' || lang || '/' || source || '/' || doc_id as path").unionByName(s.files.where("doc_id % 40 = 2").selectExpr("'/' || lang || '/./' || source || '/../nowhere' as path"))
+    paths = s.files.selectExpr("'/' || lang || '/' || source || '/' || doc_id as path").unionByName(s.files.selectExpr("'/' || lang || '/./' || source || '/../nowhere' as path"))
     return namespace.resolve(s.dirents, paths, 1)
 
 
@@ -650,10 +653,10 @@ def n2_last_writer(s):
     return coalesce.last_writer(rows.select("seq", "ino", "offset", "data"), 256)
 
 
-@query("SELECT name, ino, row_number() OVER (ORDER BY name) AS pos FROM dirents WHERE parent = 1 ORDER BY name LIMIT 10 OFFSET 10")
+@query("SELECT name, ino, (row_number() OVER (ORDER BY name) - 1) // 10 AS page FROM dirents WHERE parent = 1")
 def n6_stable_paging(s):
-    frozen = s.dirents.where("parent = 1").withColumn("pos", F.row_number().over(Window.orderBy("name")))
-    return frozen.where("pos > 10 and pos <= 20").select("name", "ino", "pos")
+    """Every page of ten entries of the root, from one frozen listing."""
+    return numbered_pages(s.dirents.where("parent = 1").select("name", "ino"), ["name"], 10)
 
 
 @query("SELECT name FROM snapshots")
@@ -679,7 +682,7 @@ def o5_distinct_inodes(s):
 # Trees and snapshots -----------------------------------------------------------------------------
 
 TREE_SQL = ", tree AS (SELECT ino, kind, '/' || name AS path, 1 AS level FROM dirents WHERE parent = 1 UNION ALL SELECT d.ino, d.kind, t.path || '/' || d.name, t.level + 1 FROM tree t JOIN dirents d ON d.parent = t.ino WHERE t.kind = 2)"
-CLONE_SQL = TREE_SQL + ", ids AS (SELECT path, ino, kind, split_part(path, '/', 2) AS head, 900000000 + row_number() OVER (ORDER BY split_part(path, '/', 2), path) - 1 AS new_ino FROM tree)"
+CLONE_SQL = TREE_SQL + ", ids AS (SELECT path, ino, kind, split_part(path, '/', 2) AS head, 900000000 + row_number() OVER (ORDER BY path) - 1 AS new_ino FROM tree)"
 
 
 def tree(s) -> DataFrame:
@@ -687,7 +690,7 @@ def tree(s) -> DataFrame:
 
 
 def clone(s) -> DataFrame:
-    return namespace.stored(snapshots.clone_ids(tree(s), 900_000_000))
+    return stored(snapshots.clone_ids(tree(s), 900_000_000))
 
 
 @query(TREE_SQL + " SELECT ino, kind, path, level FROM tree")
@@ -743,9 +746,9 @@ def r4_m3_delete_tree(s):
 # Changes of the namespace ------------------------------------------------------------------------
 
 
-@query("SELECT f.ino, size, perm, mtime FROM f JOIN inodes i ON i.ino = f.ino WHERE doc_id % 9 = 4")
+@query("SELECT f.ino, size, perm, mtime FROM f JOIN inodes i ON i.ino = f.ino")
 def d1_d2_lookup(s):
-    names = s.files.where("doc_id % 9 = 4").select(F.col("doc_id").cast("string").alias("name"))
+    names = s.files.select(F.col("doc_id").cast("string").alias("name"))
     return s.dirents.join(names, "name").join(s.inodes, "ino").select("ino", "size", "perm", "mtime")
 
 
@@ -766,11 +769,11 @@ def d5_d8_create(s):
     return dml.create(s.dirents, s.inodes, new, 1_900_000_000)[1].agg(F.count("*").alias("inodes"), F.sum("nlink").alias("links"), F.max("mtime").alias("newest"))
 
 
-UNLINK_SQL = ", gone AS (SELECT f.ino FROM f WHERE doc_id % 8 = 2), dead AS (SELECT i.ino FROM inodes i JOIN gone ON gone.ino = i.ino WHERE nlink = 1)"
+UNLINK_SQL = ", gone AS (SELECT f.ino FROM f), dead AS (SELECT i.ino FROM inodes i JOIN gone ON gone.ino = i.ino WHERE nlink = 1)"
 
 
 def unlinked(s):
-    names = s.files.where("doc_id % 8 = 2").join(F.broadcast(s.srcs.withColumnRenamed("ino", "parent")), ["lang", "source"]).select(F.col("parent").cast("bigint").alias("parent"), F.col("doc_id").cast("string").alias("name"))
+    names = s.files.join(s.srcs.withColumnRenamed("ino", "parent"), ["lang", "source"]).select(F.col("parent").cast("bigint").alias("parent"), F.col("doc_id").cast("string").alias("name"))
     return dml.unlink(s.dirents, s.inodes, s.extents, names)
 
 
@@ -790,9 +793,9 @@ def d13_rmdir(s):
     return dml.rmdir(s.dirents.unionByName(hollow), s.inodes, 1, "hollow").agg(F.count("*").alias("names"))
 
 
-@query("SELECT ino, kind, size FROM inodes UNION ALL SELECT 30000000 + doc_id, 3, 8 + octet_length(encode(CAST(doc_id AS VARCHAR))) FROM documents WHERE doc_id % 70 = 5")
+@query("SELECT ino, kind, size FROM inodes UNION ALL SELECT 30000000 + doc_id, 3, 8 + octet_length(encode(CAST(doc_id AS VARCHAR))) FROM documents")
 def d14_symlink(s):
-    new = s.documents.where("doc_id % 70 = 5").selectExpr("1L as parent", "'to-' || doc_id as name", "30000000 + doc_id as ino", "'target: ' || doc_id as target")
+    new = s.documents.selectExpr("1L as parent", "'to-' || doc_id as name", "30000000 + doc_id as ino", "'target: ' || doc_id as target")
     return dml.symlink(s.dirents, s.inodes, s.symlinks, new, 5)[1].select("ino", "kind", "size")
 
 
@@ -806,9 +809,9 @@ def d15_exchange(s):
     return dml.exchange(s.dirents, (1, "de"), (1, "en")).select("parent", "name", "ino")
 
 
-@query("SELECT ino, nlink + CASE WHEN ino BETWEEN 1000020 AND 1000029 AND kind = 1 THEN 1 ELSE 0 END AS nlink FROM inodes")
+@query("SELECT ino, nlink + CASE WHEN kind = 1 THEN 1 ELSE 0 END AS nlink FROM inodes")
 def d16_link(s):
-    new = s.inodes.where("ino between 1000020 and 1000029 and kind = 1").selectExpr("1L as parent", "'again-' || ino as name", "ino")
+    new = s.inodes.where("kind = 1").selectExpr("1L as parent", "'again-' || ino as name", "ino")
     return dml.link(s.dirents, s.inodes, new)[1].select("ino", "nlink")
 
 
@@ -827,15 +830,15 @@ def d28_removexattr(s):
     return dml.remove_xattr(s.xattrs, s.xattrs.where("name = 'user.source'")).select("ino", "name")
 
 
-@query("SELECT ino, uid = 1003 OR perm & 4 = 4 AS readable FROM inodes WHERE kind = 1 AND perm IN (420, 292) OR ino < 0")
+@query("SELECT ino, CASE WHEN uid = 1003 THEN (perm // 64) & 4 = 4 WHEN gid = 999 THEN (perm // 8) & 4 = 4 ELSE perm & 4 = 4 END AS readable FROM inodes")
 def d29_access(s):
     granted = scalars.access_granted(1003, 999, (), 4)
-    return s.inodes.where("kind = 1 and perm in (420, 292)").select("ino", granted.alias("readable"))
+    return s.inodes.select("ino", granted.alias("readable"))
 
 
-@query(f"SELECT e.ino, e.block_idx, e.hash AS old_hash, CASE WHEN e.block_idx = 0 THEN md5(unhex({HEXPAD.format('substr(h, 1, 1400)')})) END AS hash FROM extents e JOIN raw ON raw.ino = e.ino JOIN inodes i ON i.ino = e.ino WHERE e.ino % 6 = 1 AND i.size > 700")
+@query(f"SELECT e.ino, e.block_idx, e.hash AS old_hash, CASE WHEN e.block_idx = 0 THEN md5(unhex({HEXPAD.format('substr(h, 1, 1400)')})) END AS hash FROM extents e JOIN raw ON raw.ino = e.ino JOIN inodes i ON i.ino = e.ino WHERE i.size > 700")
 def d32_truncate(s):
-    new = s.files.where("ino % 6 = 1").select("ino", F.lit(700).cast("bigint").alias("new_size"))
+    new = s.files.select("ino", F.lit(700).cast("bigint").alias("new_size"))
     payloads = s.blocks.select(F.md5("data").alias("hash"), "data").dropDuplicates(["hash"])
     return reads.truncate(s.inodes, s.extents.select("ino", "block_idx", "hash"), payloads, new, BLOCK)
 

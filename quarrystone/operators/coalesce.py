@@ -72,8 +72,14 @@ def last_writer(ops: DataFrame, size: int) -> DataFrame:
     return parts.select("ino", "block_idx", F.md5(F.aggregate("parts", padded(F.lit(b""), size), lambda acc, p: patched(acc, p["part"], p["dst_start"], size))).alias("hash"))
 
 
-def conflicts(locks: DataFrame) -> DataFrame:
-    """(ino, owner, other): pairs of locks of different owners on overlapping ranges of one inode, one at least for writing."""
-    a, b = locks.alias("a"), locks.alias("b")
-    on = (F.col("a.ino") == F.col("b.ino")) & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end")) & ((F.col("a.typ") == "w") | (F.col("b.typ") == "w"))
+def conflicts(locks: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
+    """(ino, owner, other): pairs of locks of different owners on overlapping ranges of one inode, one at least for writing.
+
+    Locks meet in the bins of their range only, and a pair in the first bin that both touch.
+    """
+    first, last = (F.floor(F.col(c) / bin_size) for c in ("start", "end"))
+    binned = locks.withColumn("first", first).withColumn("bin", F.explode(F.sequence(first, last)))
+    a, b = binned.alias("a"), binned.alias("b")
+    same = (F.col("a.ino") == F.col("b.ino")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.bin") == F.greatest("a.first", "b.first"))
+    on = same & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end")) & ((F.col("a.typ") == "w") | (F.col("b.typ") == "w"))
     return a.join(b, on).select(F.col("a.ino").alias("ino"), F.col("a.owner").alias("owner"), F.col("b.owner").alias("other"))

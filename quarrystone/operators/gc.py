@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import SCAN_BATCH
 from ..functions.scalars import ratio
+from .order import numbered_pages
 from .packs import pack_sizes
 
 
@@ -15,7 +16,15 @@ def zero_ref_scan(chunks: DataFrame, cursor: str | None = None, limit: int = SCA
     """(hash, pack_id, clen, next_cursor): unreferenced chunks among the next ``limit`` keys after the cursor."""
     rest = chunks if cursor is None else chunks.where(F.col("hash") > cursor)
     batch = rest.select("hash", "refcount", "pack_id", "clen").orderBy("hash").limit(limit)
-    return batch.crossJoin(F.broadcast(batch.agg(F.max("hash").alias("next_cursor")))).where("refcount = 0").drop("refcount")
+    last = F.max("hash").over(Window.partitionBy(F.lit(0)))  # of a page, which one task holds anyway
+    return batch.withColumn("next_cursor", last).where("refcount = 0").drop("refcount")
+
+
+def zero_ref_pages(chunks: DataFrame, limit: int = SCAN_BATCH) -> DataFrame:
+    """(hash, pack_id, clen, next_cursor): what following zero_ref_scan's cursor from the first key to the last gives, all pages at once."""
+    paged = numbered_pages(chunks.select("hash", "refcount", "pack_id", "clen"), ["hash"], limit)
+    last = paged.groupBy("page").agg(F.max("hash").alias("next_cursor"))
+    return paged.where("refcount = 0").join(last, "page").select("hash", "pack_id", "clen", "next_cursor")
 
 
 def delete_candidates(chunks: DataFrame, candidates: DataFrame) -> DataFrame:

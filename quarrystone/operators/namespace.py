@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import KIND_DIR, KIND_FILE
+from ..shared import stored
+from .order import ranked
 
 
 def listing(dirents: DataFrame, inodes: DataFrame, parent: int, grand: int) -> DataFrame:
@@ -16,7 +15,7 @@ def listing(dirents: DataFrame, inodes: DataFrame, parent: int, grand: int) -> D
     own = dirents.where(F.col("parent") == parent).join(inodes.select("ino"), "ino", "left_semi").select("name", "ino", F.lit(2).alias("rank"))
     spark = dirents.sparkSession
     dots = spark.createDataFrame([(".", parent, 0), ("..", grand, 1)], "name string, ino long, rank int")
-    return dots.unionByName(own).withColumn("pos", F.row_number().over(Window.orderBy("rank", "name")) - 1).select("pos", "name", "ino")
+    return ranked(dots.unionByName(own), ["rank", "name"], "pos").select((F.col("pos") - 1).alias("pos"), "name", "ino")
 
 
 def descend(dirents: DataFrame, roots: DataFrame, max_levels: int | None = None) -> DataFrame:
@@ -38,16 +37,6 @@ def descend(dirents: DataFrame, roots: DataFrame, max_levels: int | None = None)
     return seen
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Rows computed once: in the folder of spark.checkpoint.dir; where none is set, as in tests, in the cache."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def below(dirents: DataFrame, root: int) -> DataFrame:
     """(ino, kind, path, level) below ``root``, by ``descend``: a recursive query stops at Spark's row and level limits."""
     roots = dirents.sparkSession.createDataFrame([(root, root)], "root long, ino long")

@@ -4,23 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import KIND_DIR
+from .order import ranked
 
 
 def clone_ids(reached: DataFrame, first: int) -> DataFrame:
-    """(path, parent_path, name, ino, new_ino): a new inode for each name, so hard links part.
-
-    Ids follow path order: ranks within hash-free path prefixes would need one partition, so the
-    rank is that within the first path component, offset by the sizes of those before.
-    """
-    named = reached.where("level > 0").withColumn("head", F.split_part("path", F.lit("/"), F.lit(2)))
-    sizes = named.groupBy("head").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = named.withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy("path")))
-    cut = F.length(F.col("path")) - F.length(F.substring_index("path", "/", -1)) - 1
-    return ranked.join(F.broadcast(before.select("head", "start")), "head").select("path", F.substring("path", F.lit(1), cut).alias("parent_path"), F.substring_index("path", "/", -1).alias("name"), "ino", "kind", (F.col("start") + F.col("k") + (first - 1)).alias("new_ino"))
+    """(path, parent_path, name, ino, kind, new_ino): a new inode for each name, so hard links part; ids follow path order."""
+    name = F.substring_index("path", "/", -1)
+    cut = F.length("path") - F.length(name) - 1
+    rows = reached.where("level > 0").select("path", F.substring("path", F.lit(1), cut).alias("parent_path"), name.alias("name"), "ino", "kind")
+    return ranked(rows, ["path"], "k").withColumn("new_ino", F.col("k") + (first - 1)).drop("k")
 
 
 def clone_dirents(ids: DataFrame, new_root: int) -> DataFrame:

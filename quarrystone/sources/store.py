@@ -1,6 +1,6 @@
 """The store's logical tables, derived from the driver's tables.
 
-Documents are files under /lang/source/doc_id, pages are unreferenced blobs.  A few
+Documents are files under /lang/source/doc_id, pages are unreferenced blobs, all whole.  A few
 deterministic faults (lost inodes, lost chunks, wrong counts) give audits something to find.
 SQL has the same tables for the oracle: ``WITH`` + PRELUDE.
 """
@@ -37,11 +37,13 @@ dirents AS (
   UNION ALL SELECT s.ino, CAST(doc_id AS VARCHAR), f.ino, 1 FROM f JOIN srcs s ON s.lang = f.lang AND s.source = f.source
   UNION ALL SELECT 1, 'link-' || doc_id, ino, 1 FROM f WHERE doc_id % 50 = 0
   UNION ALL SELECT 1, 'sym-' || doc_id, {LINK0} + doc_id, 3 FROM f WHERE doc_id % 60 = 7),
-xattrs AS (SELECT ino, 'user.lang' AS name, lang AS value FROM f WHERE doc_id % 10 = 3 UNION ALL SELECT ino, 'user.source', source FROM f WHERE doc_id % 10 = 3),
+xattrs AS (SELECT ino, 'user.lang' AS name, lang AS value FROM f UNION ALL SELECT ino, 'user.source', source FROM f),
 raw AS (SELECT ino, n, hex(encode(text)) AS h FROM f),
+raw_pages AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, hex(encode(html)) AS h FROM pages),
 extents AS (SELECT ino, i AS block_idx, least({BLOCK}, n - i * {BLOCK}) AS used, md5(unhex(rpad(substr(h, i * {2 * BLOCK} + 1, {2 * BLOCK}), {2 * BLOCK}, '0'))) AS hash
   FROM (SELECT *, unnest(range(0, (n + {BLOCK - 1}) // {BLOCK})) AS i FROM raw)),
-loose AS (SELECT md5(unhex(rpad(substr(hex(encode(html)), 1, {2 * BLOCK}), {2 * BLOCK}, '0'))) AS hash, least({BLOCK}, octet_length(encode(html))) AS used FROM pages),
+loose AS (SELECT md5(unhex(rpad(substr(h, i * {2 * BLOCK} + 1, {2 * BLOCK}), {2 * BLOCK}, '0'))) AS hash, least({BLOCK}, n - i * {BLOCK}) AS used
+  FROM (SELECT *, unnest(range(0, (n + {BLOCK - 1}) // {BLOCK})) AS i FROM raw_pages)),
 held AS (SELECT hash, count(*) AS n, max(used) AS used FROM extents GROUP BY hash UNION ALL SELECT hash, 0, max(used) FROM loose WHERE hash NOT IN (SELECT hash FROM extents) GROUP BY hash),
 chunks AS (SELECT hash, CAST(n + CASE WHEN hash LIKE 'a0%' THEN 1 ELSE 0 END AS BIGINT) AS refcount, CAST(('0x' || substr(hash, 1, 4)) AS INTEGER) % {PACKS} + 1 AS pack_id,
   CASE WHEN used + 16 < {BLOCK} THEN 1 ELSE 0 END AS codec, CAST({BLOCK} AS BIGINT) AS ulen, CAST(least({BLOCK}, used + 16) AS BIGINT) AS clen FROM held WHERE hash NOT LIKE '0f%'),
@@ -73,7 +75,7 @@ class Store:
         vault = "case when source = 'src7' then 2 else 0 end"
         parts = [
             shape(self.langs.agg(F.count("*").alias("n")), "1", "2", "493", "0", "0", "2 + n", "0", "1700000000", "0"),
-            shape(self.langs.join(F.broadcast(below), "lang"), "ino", "2", "493", "0", "0", "2 + n", "0", "1700000001", "0"),
+            shape(self.langs.join(below, "lang"), "ino", "2", "493", "0", "0", "2 + n", "0", "1700000001", "0"),
             shape(self.srcs, "ino", "2", "493", "0", "0", "2", "0", "1700000002", vault),
             shape(self.files.where("doc_id % 97 <> 13"), "ino", "1", "case doc_id % 4 when 0 then 420 when 1 then 416 when 2 then 384 else 292 end", "1000 + doc_id % 5", "100 + doc_id % 3", "case when doc_id % 50 = 0 then 2 else 1 end", "n", "1700000000 + doc_id * 37", f"case when doc_id % 11 = 0 then 1 else 0 end + {vault}"),
             shape(self.files.where("doc_id % 60 = 7"), f"{LINK0} + doc_id", "3", "511", "1000", "100", "1", "length(lang || source) + 3 + length(cast(doc_id as string))", "1700000003", "0"),
@@ -92,8 +94,8 @@ class Store:
         srcs = self.srcs.withColumnRenamed("ino", "src_ino")
         parts = [
             self.langs.selectExpr("1L as parent", "lang as name", "cast(ino as bigint) as ino", "2 as kind"),
-            srcs.join(F.broadcast(self.langs), "lang").selectExpr("cast(ino as bigint) as parent", "source as name", "cast(src_ino as bigint) as ino", "2 as kind"),
-            self.files.join(F.broadcast(srcs), ["lang", "source"]).selectExpr("cast(src_ino as bigint) as parent", "cast(doc_id as string) as name", "ino", "1 as kind"),
+            srcs.join(self.langs, "lang").selectExpr("cast(ino as bigint) as parent", "source as name", "cast(src_ino as bigint) as ino", "2 as kind"),
+            self.files.join(srcs, ["lang", "source"]).selectExpr("cast(src_ino as bigint) as parent", "cast(doc_id as string) as name", "ino", "1 as kind"),
             self.files.where("doc_id % 50 = 0").selectExpr("1L as parent", "'link-' || doc_id as name", "ino", "1 as kind"),
             self.files.where("doc_id % 60 = 7").selectExpr("1L as parent", "'sym-' || doc_id as name", f"{LINK0} + doc_id as ino", "3 as kind"),
         ]
@@ -104,22 +106,32 @@ class Store:
 
     @property
     def xattrs(self) -> DataFrame:
-        own = self.files.where("doc_id % 10 = 3")
-        return own.selectExpr("ino", "inline(array(struct('user.lang' as name, lang as value), struct('user.source' as name, source as value)))")
+        return self.files.selectExpr("ino", "inline(array(struct('user.lang' as name, lang as value), struct('user.source' as name, source as value)))")
 
     @property
     def blocks(self) -> DataFrame:
         """(ino, block_idx, used, data): padded blocks of the files."""
         return split_blocks(self.files.select("ino", F.encode("text", "UTF-8").alias("data")), "ino", "data", BLOCK)
 
+    @property
+    def page_blocks(self) -> DataFrame:
+        """(page_id, block_idx, used, data): padded blocks of the pages, which no file refers to."""
+        html = F.encode(F.col("html"), "UTF-8")
+        return split_blocks(table(self.spark, self.sf_dir, "pages").select("page_id", html.alias("data")), "page_id", "data", BLOCK)
+
+    @property
+    def payloads(self) -> DataFrame:
+        """(hash, data): each distinct block of files and pages."""
+        both = self.blocks.select("data").unionByName(self.page_blocks.select("data"))
+        return both.select(F.md5("data").alias("hash"), "data").dropDuplicates(["hash"])
+
     @property
     def extents(self) -> DataFrame:
         return self.blocks.select("ino", "block_idx", "used", F.md5("data").alias("hash"))
 
     @property
     def chunks(self) -> DataFrame:
-        first = F.encode(F.col("html"), "UTF-8")
-        loose = split_blocks(table(self.spark, self.sf_dir, "pages").select("page_id", first.alias("data")), "page_id", "data", BLOCK).where("block_idx = 0")
+        loose = self.page_blocks
         rows = self.extents.select("hash", "used", F.lit(1).alias("n")).unionByName(loose.select(F.md5("data").alias("hash"), "used", F.lit(0).alias("n")))
         held = rows.groupBy("hash").agg(F.sum("n").alias("n"), F.max("used").alias("used")).where("hash not like '0f%'")
         return held.selectExpr("hash", "n + case when hash like 'a0%' then 1 else 0 end as refcount", f"cast(conv(substring(hash, 1, 4), 16, 10) as int) % {PACKS} + 1 as pack_id", f"case when used + 16 < {BLOCK} then 1 else 0 end as codec", f"{BLOCK}L as ulen", f"cast(least({BLOCK}, used + 16) as bigint) as clen")

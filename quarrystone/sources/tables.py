@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars
 
@@ -28,8 +29,8 @@ def page(df: DataFrame, keys: list[str], cursor: tuple | None, limit: int) -> Da
     """The first ``limit`` rows after the cursor in key order, with has_more: whether the limit was reached."""
     if cursor is not None:
         df = df.where(after(keys, cursor))
-    rows = df.orderBy(*keys).limit(limit)
-    return rows.crossJoin(F.broadcast(rows.agg((F.count("*") >= limit).alias("has_more"))))
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))  # over a page, which one task holds anyway
+    return df.orderBy(*keys).limit(limit).withColumn("has_more", n >= limit)
 
 
 def after(keys: list[str], cursor: tuple) -> Column:

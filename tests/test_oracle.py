@@ -37,6 +37,7 @@ def duck():
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert got
     if name in catalog.ORACLE_SQL:
         want = duck.sql(catalog.ORACLE_SQL[name])
         assert sorted(want.columns) == sorted(df.columns)
