@@ -6,23 +6,20 @@ A query's name starts with the operator's id.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.window import Window
 
-from .config import KIND_DIR, Settings
+from .config import KIND_DIR, PACK_MAGIC, Settings
 from .functions import cdc, codecs, scalars
-from .operators import audit, blocks, coalesce, dedup, dml, gc, namespace, packs, reads, snapshots
+from .operators import audit, blocks, coalesce, dedup, dml, gc, namespace, packs, reads, snapshots, vault
 from .operators.order import numbered_pages, ranked
-from .plans import repack, stats, write_path
+from .plans import collection, repack, stats, write_path
 from .shared import new_path, stored
 from .ship import ship
-from .sources import bootstrap, tables
+from .sources import bootstrap, pack_files, tables
 from .sources.store import BLOCK, FILE0, PACKS, PRELUDE, Store
 from .streaming import writes
 
@@ -72,10 +69,19 @@ def s4_prefix_scan(s):
     return s.dirents.where((key >= start) & (key < scalars.prefix_end(start))).select("parent", "name", "ino")
 
 
-@query("SELECT DISTINCT pack_id FROM pack_index")
+def written_packs(s, records: DataFrame | None = None) -> str:
+    """A folder with the store's pack files: each entry's payload is its block, cut to the stored length."""
+    root = shared_folder(s.spark)
+    rows = (s.pack_index if records is None else records).join(s.payloads, "hash")
+    magic = F.lit(PACK_MAGIC) if records is None else F.col("magic")
+    pack_files.write_packs(rows.select("pack_id", "seq", magic.alias("magic"), "hash", "codec", "ulen", F.substring("data", F.lit(1), F.col("clen").cast("int")).alias("payload")), root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("SELECT pack_id, CAST(sum(32 + clen) AS BIGINT) AS length FROM pack_index GROUP BY pack_id")
 def s5_pack_ids(s):
-    names = s.entries.select(scalars.pack_path("pack_id").alias("path")).distinct()
-    return names.select(scalars.pack_id_of("path").alias("pack_id"))
+    """Pack files found in their folders."""
+    return tables.pack_files(s.spark, written_packs(s))
 
 
 @query('SELECT pack_id, hash, "offset", clen FROM pack_index WHERE pack_id = 5')
@@ -83,16 +89,20 @@ def s6_index_scan(s):
     return s.pack_index.where("pack_id = 5").select("pack_id", "hash", "offset", "clen")
 
 
-@query("SELECT count(*) FILTER (hash LIKE 'f0%') AS bad, count(*) AS headers FROM pack_index")
+@query("SELECT pack_id, min(\"offset\") AS \"offset\" FROM pack_index WHERE hash LIKE 'f0%' GROUP BY pack_id")
 def s7_verify_headers(s):
-    magic = F.when(F.col("hash").like("f0%"), 0).otherwise(0x564B5041)
-    return s.entries.withColumn("magic", magic).agg(F.count_if(F.col("magic") != 0x564B5041).alias("bad"), F.count("*").alias("headers"))
+    """The headers of all pack files, some of which have another magic; a file is read up to the first of these."""
+    spoiled = s.pack_index.withColumn("magic", F.when(F.col("hash").like("f0%"), F.lit(b"XXXX")).otherwise(F.lit(PACK_MAGIC)))
+    return pack_files.bad_headers(pack_files.read_records(s.spark, written_packs(s, spoiled)))
 
 
-@query("SELECT c.hash, c.pack_id, CASE WHEN c.hash LIKE 'd2%' THEN 'clen' ELSE 'missing' END AS problem FROM chunks c WHERE c.hash LIKE 'd2%' OR c.hash LIKE 'e3%'")
+@query("SELECT hash, pack_id, CASE WHEN hash LIKE 'd2%' THEN 'index clen' WHEN hash LIKE 'e3%' THEN 'no index entry' WHEN hash LIKE 'f4%' THEN 'codec' END AS problem, CASE WHEN hash LIKE 'd2%' OR hash LIKE 'e3%' OR hash LIKE 'f4%' THEN 0 ELSE clen END AS bytes FROM chunks")
 def s8_pack_verify(s):
+    """Every chunk's payload through the index from its pack file; some index rows and some headers are wrong."""
+    wrong = s.pack_index.withColumn("magic", F.lit(PACK_MAGIC)).withColumn("codec", F.when(F.col("hash").like("f4%"), 9).otherwise(F.col("codec")))
     index = s.pack_index.where("hash not like 'e3%'").withColumn("clen", F.when(F.col("hash").like("d2%"), F.col("clen") + 1).otherwise(F.col("clen")))
-    return packs.mismatches(s.chunks, index)
+    got = pack_files.read_payloads(s.chunks, index, pack_files.read_records(s.spark, written_packs(s, wrong)))
+    return got.select("hash", "pack_id", "problem", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("bytes"))
 
 
 @query('SELECT pack_id, hash, max("offset") AS "offset" FROM pack_index GROUP BY pack_id, hash')
@@ -129,10 +139,11 @@ def s14_proc_lines(s):
     return rows.select("line", scalars.parse_kib("line").alias("bytes"))
 
 
-@query("SELECT * FROM (VALUES ('pack_max_size_mb', 10240.0), ('batch_max_size_mb', 512.0), ('zstd_compression_level', 3.0), ('gc_min_reclaim_percent', 25.0), ('block_size', 1048576.0)) AS t(name, value)", prelude=False)
+@query("SELECT * FROM (VALUES ('pack_max_size_mb', 5000.0), ('batch_max_size_mb', 512.0), ('zstd_compression_level', 3.0), ('ultracdc_avg_size_bytes', 32768.0), ('gc_pack_rewrite_min_reclaim_percent', 12.5), ('block_size', 1048576.0)) AS t(name, value)", prelude=False)
 def s15_settings(s):
-    own = Settings()
-    return s.spark.createDataFrame([(n, float(getattr(own, n))) for n in ("pack_max_size_mb", "batch_max_size_mb", "zstd_compression_level", "gc_min_reclaim_percent", "block_size")], "name string, value double")
+    """A file's keys, defaults for those it lacks, keys unknown here ignored."""
+    own = Settings.parse("pack_max_size_mb = 5000\ngc_pack_rewrite_min_reclaim_percent = 12.5\nmount_point = \"/mnt\"\n")
+    return s.spark.createDataFrame([(n, float(getattr(own, n))) for n in ("pack_max_size_mb", "batch_max_size_mb", "zstd_compression_level", "ultracdc_avg_size_bytes", "gc_pack_rewrite_min_reclaim_percent", "block_size")], "name string, value double")
 
 
 # Sinks -------------------------------------------------------------------------------------------
@@ -278,10 +289,23 @@ def p1_cdc_spans(s):
     return cdc.chunk(s.files.select("ino", F.encode("text", "UTF-8").alias("data")), "ino", "data", 256, 1024, 4096)
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS covered FROM f")
+def cdc_spans(s):
+    return cdc.chunk(s.files.select("ino", F.encode("text", "UTF-8").alias("data")), "ino", "data", 256, 1024, 4096)
+
+
+@query()
+def p2_cdc_chunk_counts(s):
+    """(ino, chunks): the number of content-defined chunks of each file, 0 for empty ones."""
+    counts = cdc_spans(s).groupBy("ino").agg(F.count("*").alias("n"))
+    return s.files.select("ino").join(counts, "ino", "left").select("ino", F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
+@query("SELECT ino, n AS covered, n BETWEEN 1 AND 4096 OR n = 0 AS one_at_most FROM f")
 def p2_cdc_coverage(s):
-    spans = cdc.chunk(s.files.select("ino", F.encode("text", "UTF-8").alias("data")), "ino", "data", 256, 1024, 4096)
-    return spans.groupBy("ino").agg(F.count("*").alias("chunks"), F.sum("length").alias("length")).agg(F.sum("length").alias("covered"))
+    """Chunks cover each file; files up to the greatest size may be one chunk, others can't."""
+    by = cdc_spans(s).groupBy("ino").agg(F.sum("length").alias("covered"), F.min(F.col("length") <= 4096).alias("ok"))
+    rows = s.files.select("ino", "n").join(by, "ino", "left")
+    return rows.select("ino", F.coalesce("covered", F.lit(0)).alias("covered"), (F.coalesce("ok", F.lit(True)) & (F.col("n") <= 4096)).alias("one_at_most"))
 
 
 @query()
@@ -306,13 +330,32 @@ def p9_checksum_mismatches(s):
 
 @query("SELECT count(*) AS files, count(*) AS same, 0 AS opened_with_another_key FROM documents", prelude=False)
 def p10_p11_encrypt(s):
-    """Authenticated encryption round trip with AES-GCM, the authenticated cipher that Spark has."""
-    key, other = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
-    rows = s.files.select("text", F.aes_encrypt("text", key).alias("c"))
-    rows = rows.select((F.aes_decrypt("c", key).cast("string") == F.col("text")).alias("ok"), F.try_aes_decrypt("c", other).isNotNull().alias("open"))
+    """Authenticated encryption round trip with AES-GCM, the authenticated cipher that Spark has, under fresh folder keys."""
+    key, other = vault.generate_key(), vault.generate_key()
+    rows = stored(s.files.select("text", vault.encrypt("text", key).alias("c")))
+    rows = rows.select((vault.decrypt("c", key).cast("string") == F.col("text")).alias("ok"), vault.decrypt("c", other).isNotNull().alias("open"))
     return rows.agg(F.count("*").alias("files"), F.count_if("ok").alias("same"), F.count_if("open").alias("opened_with_another_key"))
 
 
+@query("SELECT * FROM (VALUES ('created', 1, 0), ('wrong password', 0, 0), ('wrong key file', 0, 0), ('unlocked', 1, 1), ('locked', 1, 0)) AS t(step, ok, visible)", prelude=False)
+def p12_p13_p14_p34_m4_m5_m6_vault(s):
+    """A vault's life: made, refused to a wrong password and a wrong key file, unlocked, locked; visible: whether its folder shows."""
+    t, own, material = vault.create(s.tables, 79_000_001, "secret", 5)
+    folder = stored(t.inodes.where("ino = 79000001"))
+    shown = lambda v: folder.where(scalars.visible(v.folder_key is not None)).count()
+
+    def refused(password: str, key_file: bytes) -> int:
+        try:
+            own.unlock(s.spark, password, key_file)
+        except PermissionError:
+            return 0
+        return 1
+
+    opened = own.unlock(s.spark, "secret", material)
+    rows = [("created", int(own.folder_key is None), shown(own)), ("wrong password", refused("other", material), shown(own)), ("wrong key file", refused("secret", vault.generate_key()), shown(own)), ("unlocked", int(len(opened.key()) == 32), shown(opened)), ("locked", int(opened.lock().folder_key is None), shown(opened.lock()))]
+    return s.spark.createDataFrame(rows, "step string, ok int, visible int")
+
+
 @query("SELECT ino, (size + 511) // 512 AS blocks, CASE kind WHEN 2 THEN 'directory' WHEN 3 THEN 'symlink' ELSE 'file' END AS type, CASE kind WHEN 2 THEN 16384 WHEN 3 THEN 40960 ELSE 32768 END AS flag, mtime, CAST(0 AS BIGINT) AS nsec FROM inodes")
 def p15_p16_p17_attributes(s):
     sec, nsec = scalars.split_time(F.timestamp_seconds("mtime"))
@@ -360,10 +403,8 @@ def p27_p28_pack_names(s):
 
 @query("SELECT count(*) AS records, count(*) AS decoded, CAST(sum(bytes) AS BIGINT) AS bytes FROM discards")
 def p29_p30_discard_records(s):
-    encode = F.pandas_udf(lambda e, p, d, n: pd.Series([codecs.encode_discard(int(a), int(b), c, int(x)) for a, b, c, x in zip(e, p, d, n, strict=True)]), T.BinaryType(), PandasUDFType.SCALAR)
-    size_of = F.pandas_udf(lambda raw: pd.Series([None if (x := codecs.decode_discard(r)) is None else x[3] for r in raw], dtype="Int64"), T.LongType(), PandasUDFType.SCALAR)
-    raw = s.discards.select(encode("epoch", "pack_id", F.unhex("hash"), "bytes").alias("raw"))
-    return raw.select(size_of("raw").alias("bytes")).agg(F.count("*").alias("records"), F.count("bytes").alias("decoded"), F.sum("bytes").alias("bytes"))
+    raw = s.discards.select(codecs.discard_record("epoch", "pack_id", F.unhex("hash"), "bytes").alias("raw"))
+    return raw.select(codecs.discard_fields("raw").alias("f")).agg(F.count("*").alias("records"), F.count("f.bytes").alias("decoded"), F.sum("f.bytes").alias("bytes"))
 
 
 HEXPAD = f"rpad({{}}, {2 * BLOCK}, '0')"
@@ -763,56 +804,72 @@ def d4_readlink(s):
     return s.symlinks.join(s.inodes.where("kind = 3").select("ino"), "ino", "left_semi")
 
 
-@query("SELECT count(*) AS inodes, CAST(sum(nlink) AS BIGINT) AS links, max(mtime) AS newest FROM (SELECT nlink + CASE WHEN ino = 1 THEN 2 ELSE 0 END AS nlink, CASE WHEN ino = 1 THEN 1900000000 ELSE mtime END AS mtime FROM inodes UNION ALL SELECT 2, 1900000000 FROM range(2) UNION ALL SELECT 1, 1900000000 FROM range(1))")
+@query("SELECT count(*) AS inodes, CAST(sum(nlink) AS BIGINT) AS links, max(mtime) AS newest, (SELECT count(*) + 3 FROM dirents) AS names FROM (SELECT nlink + CASE WHEN ino = 1 THEN 2 ELSE 0 END AS nlink, CASE WHEN ino = 1 THEN 1900000000 ELSE mtime END AS mtime FROM inodes UNION ALL SELECT 2, 1900000000 FROM range(2) UNION ALL SELECT 1, 1900000000 FROM range(1))")
 def d5_d8_create(s):
     new = s.spark.createDataFrame([(1, "new-a", 77_000_001, 2, 493, 0, 0), (1, "new-b", 77_000_002, 2, 493, 0, 0), (1, "new-c", 77_000_003, 1, 420, 0, 0)], "parent long, name string, ino long, kind int, perm int, uid long, gid long")
-    return dml.create(s.dirents, s.inodes, new, 1_900_000_000)[1].agg(F.count("*").alias("inodes"), F.sum("nlink").alias("links"), F.max("mtime").alias("newest"))
+    done = dml.create(s.tables, new, 1_900_000_000)
+    return done.inodes.agg(F.count("*").alias("inodes"), F.sum("nlink").alias("links"), F.max("mtime").alias("newest")).crossJoin(F.broadcast(done.dirents.agg(F.count("*").alias("names"))))
 
 
-UNLINK_SQL = ", gone AS (SELECT f.ino FROM f), dead AS (SELECT i.ino FROM inodes i JOIN gone ON gone.ino = i.ino WHERE nlink = 1)"
+UNLINK_SQL = ", gone AS (SELECT f.ino FROM f LEFT JOIN inodes i ON i.ino = f.ino WHERE coalesce(flags, 0) & 1 = 0), dead AS (SELECT i.ino FROM inodes i JOIN gone ON gone.ino = i.ino WHERE nlink = 1)"
 
 
 def unlinked(s):
-    names = s.files.join(s.srcs.withColumnRenamed("ino", "parent"), ["lang", "source"]).select(F.col("parent").cast("bigint").alias("parent"), F.col("doc_id").cast("string").alias("name"))
-    return dml.unlink(s.dirents, s.inodes, s.extents, names)
+    """Without the name under /lang/source of every file that isn't read-only."""
+    names = s.files.join(s.srcs.withColumnRenamed("ino", "parent"), ["lang", "source"]).select(F.col("parent").cast("bigint").alias("parent"), F.col("doc_id").cast("string").alias("name"), "ino")
+    return dml.unlink(s.tables, names.join(s.inodes.where(~scalars.writable()).select("ino"), "ino", "left_anti"))
 
 
 @query(UNLINK_SQL + " SELECT i.ino, CAST(nlink - CASE WHEN gone.ino IS NULL THEN 0 ELSE 1 END AS BIGINT) AS nlink FROM inodes i LEFT JOIN gone ON gone.ino = i.ino WHERE i.ino NOT IN (SELECT ino FROM dead)")
 def d9_d11_unlink(s):
-    return unlinked(s)[1].select("ino", "nlink")
+    return unlinked(s).inodes.select("ino", "nlink")
 
 
 @query(UNLINK_SQL + " SELECT hash, CAST(-count(*) AS BIGINT) AS delta FROM extents WHERE ino IN (SELECT ino FROM dead) GROUP BY hash")
 def d10_d12_drop_payload(s):
-    return unlinked(s)[3]
+    return unlinked(s).deltas
 
 
-@query("SELECT count(*) AS names FROM (SELECT * FROM dirents UNION ALL SELECT 1, 'hollow', 78000001, 2) WHERE name <> 'hollow'")
+@query("SELECT count(*) AS names, (SELECT CAST(sum(nlink) AS BIGINT) FROM inodes) AS links, (SELECT count(*) FROM inodes) AS inodes FROM dirents")
 def d13_rmdir(s):
-    hollow = s.spark.createDataFrame([(1, "hollow", 78_000_001, 2)], "parent long, name string, ino long, kind int")
-    return dml.rmdir(s.dirents.unionByName(hollow), s.inodes, 1, "hollow").agg(F.count("*").alias("names"))
+    """A directory is made and removed."""
+    new = s.spark.createDataFrame([(1, "hollow", 78_000_001, 2, 493, 0, 0)], "parent long, name string, ino long, kind int, perm int, uid long, gid long")
+    done = dml.rmdir(dml.create(s.tables, new, 5).stored(), new, 6).stored()
+    return done.dirents.agg(F.count("*").alias("names")).crossJoin(F.broadcast(done.inodes.agg(F.sum("nlink").alias("links"), F.count("*").alias("inodes"))))
 
 
 @query("SELECT ino, kind, size FROM inodes UNION ALL SELECT 30000000 + doc_id, 3, 8 + octet_length(encode(CAST(doc_id AS VARCHAR))) FROM documents")
 def d14_symlink(s):
     new = s.documents.selectExpr("1L as parent", "'to-' || doc_id as name", "30000000 + doc_id as ino", "'target: ' || doc_id as target")
-    return dml.symlink(s.dirents, s.inodes, s.symlinks, new, 5)[1].select("ino", "kind", "size")
+    return dml.symlink(s.tables, new, 5).inodes.select("ino", "kind", "size")
 
 
 @query("SELECT parent, CASE WHEN parent = 1 AND name = 'de' THEN 'deutsch' ELSE name END AS name, ino FROM dirents")
 def d15_rename(s):
-    return dml.rename(s.dirents, (1, "de"), (1, "deutsch")).select("parent", "name", "ino")
+    return dml.rename(s.tables, (1, "de"), (1, "deutsch"), 7).dirents.select("parent", "name", "ino")
+
+
+@query("""SELECT 'name' AS what, parent AS n, name, ino FROM dirents WHERE NOT (parent = 1 AND name IN ('link-50', 'link-100', 'link-150', 'sym-67'))
+UNION ALL SELECT * FROM (VALUES ('name', 1, 'link-100', 1000050), ('name', 1, 'sym-67', 1000150))
+UNION ALL SELECT 'links', CASE WHEN ino = 1000100 THEN nlink - 1 ELSE nlink END, '', ino FROM inodes WHERE ino <> 20000067 UNION ALL SELECT 'target', 0, target, ino FROM symlinks WHERE ino <> 20000067""")
+def d15_replace(s):
+    """Renames over a file that has another name, and over a symbolic link that has none."""
+    first = dml.rename(s.tables.stored(), (1, "link-50"), (1, "link-100"), 7).stored()
+    done = dml.rename(first, (1, "link-150"), (1, "sym-67"), 7).stored()
+    names = done.dirents.selectExpr("'name' as what", "parent as n", "name", "ino")
+    return names.unionByName(done.inodes.selectExpr("'links' as what", "nlink as n", "'' as name", "ino")).unionByName(done.symlinks.selectExpr("'target' as what", "0L as n", "target as name", "ino"))
 
 
 @query("SELECT parent, CASE WHEN parent = 1 AND name = 'de' THEN 'en' WHEN parent = 1 AND name = 'en' THEN 'de' ELSE name END AS name, ino FROM dirents")
 def d15_exchange(s):
-    return dml.exchange(s.dirents, (1, "de"), (1, "en")).select("parent", "name", "ino")
+    return dml.exchange(s.tables, (1, "de"), (1, "en"), 7).dirents.select("parent", "name", "ino")
 
 
-@query("SELECT ino, nlink + CASE WHEN kind = 1 THEN 1 ELSE 0 END AS nlink FROM inodes")
+@query("SELECT ino, nlink + CASE WHEN kind = 1 AND flags & 1 = 0 THEN 1 ELSE 0 END AS nlink FROM inodes")
 def d16_link(s):
-    new = s.inodes.where("kind = 1").selectExpr("1L as parent", "'again-' || ino as name", "ino")
-    return dml.link(s.dirents, s.inodes, new)[1].select("ino", "nlink")
+    """Another name for every file that isn't read-only."""
+    new = s.inodes.where(scalars.writable() & (F.col("kind") == 1)).selectExpr("1L as parent", "'again-' || ino as name", "ino")
+    return dml.link(s.tables, new).inodes.select("ino", "nlink")
 
 
 @query("SELECT ino, name, CASE WHEN name = 'user.lang' THEN upper(value) ELSE value END AS value FROM xattrs")
@@ -856,11 +913,28 @@ def m10_bootstrap(s):
 # Plans -------------------------------------------------------------------------------------------
 
 
-@query(DELTA_SQL + " SELECT coalesce(c.hash, dl.hash) AS hash, greatest(coalesce(refcount, 0) + coalesce(delta, 0), 0) AS refcount FROM chunks c FULL JOIN dl ON dl.hash = c.hash WHERE refcount IS NOT NULL OR delta > 0")
+K13_SQL = DELTA_SQL + """
+SELECT 'extent' AS what, ino || ':' || block_idx AS name, hash AS value FROM neu
+UNION ALL SELECT 'extent', e.ino || ':' || e.block_idx, e.hash FROM extents e LEFT JOIN neu ON neu.ino = e.ino AND neu.block_idx = e.block_idx WHERE neu.ino IS NULL
+UNION ALL SELECT 'size', CAST(i.ino AS VARCHAR), CAST(CASE WHEN w.ino IS NULL THEN size ELSE greatest(size, 1050) END AS VARCHAR) FROM inodes i LEFT JOIN w ON w.ino = i.ino
+UNION ALL SELECT 'count', coalesce(c.hash, dl.hash), CAST(greatest(coalesce(refcount, 0) + coalesce(delta, 0), 0) AS VARCHAR) FROM chunks c FULL JOIN dl ON dl.hash = c.hash WHERE refcount IS NOT NULL OR delta > 0
+UNION ALL SELECT DISTINCT 'packed', hash, 'in place' FROM neu WHERE old_hash IS DISTINCT FROM hash AND hash NOT IN (SELECT hash FROM chunks)"""
+
+
+@query(K13_SQL)
 def k13_t13_commit_writes(s):
-    payloads = s.blocks.select(F.md5("data").alias("hash"), "data").dropDuplicates(["hash"])
-    done = write_path.commit_writes(fifty_bytes(s), s.inodes, s.extents, s.chunks, payloads, BLOCK, 20_000)
-    return done.chunks.select("hash", "refcount")
+    """Extents, sizes, counts and packed chunks after the writes; a chunk is in place if it begins where the one before it in its pack ends and the pack keeps its limit."""
+    done = write_path.commit_writes(fifty_bytes(s), s.inodes, s.extents, s.chunks, s.payloads, BLOCK, 20_000)
+    end = F.col("offset") + 32 + F.col("clen")
+    before = F.coalesce(F.lag(end).over(Window.partitionBy("writer", "pack_no").orderBy("offset")), F.lit(0))
+    placed = done.new_chunks.withColumn("ok", (F.col("offset") == before) & (end <= 20_000) & (F.col("clen") == F.octet_length("payload")) & (F.col("ulen") == BLOCK))
+    rows = [
+        done.extents.selectExpr("'extent' as what", "ino || ':' || block_idx as name", "hash as value"),
+        done.inodes.selectExpr("'size' as what", "cast(ino as string) as name", "cast(size as string) as value"),
+        done.chunks.selectExpr("'count' as what", "hash as name", "cast(refcount as string) as value"),
+        placed.selectExpr("'packed' as what", "hash as name", "case when ok then 'in place' else 'elsewhere' end as value"),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 REPACK_SQL = FOLD_SQL.replace("substr(hash, 1, 1)", "pack_id").replace("20000", "50000")
@@ -916,10 +990,37 @@ def t12_versions(s):
     return updates.groupBy("ino").agg(F.max("version").alias("version"), F.max("size").alias("size"))
 
 
-@query(DEAD_SQL + " SELECT pack_id FROM pd WHERE pack_id <> 24 AND (dead >= 9000 OR percent >= 9)")
-def t9_t14_collect_until_stable(s):
-    """The offline form rewrites all packs over a threshold at once; none qualifies afterwards."""
-    chosen = gc.worth_rewriting(gc.dead_bytes(s.discards, s.pack_index), PACKS, 9000, 9.0)
-    left = gc.without_packs(s.discards, chosen)
-    again = gc.worth_rewriting(gc.dead_bytes(left, s.pack_index), PACKS, 9000, 9.0).select(F.lit(-1).alias("pack_id"))
-    return chosen.select("pack_id").unionByName(again)
+COLLECT_SQL = DEAD_SQL.replace("(SELECT pack_id, arg_max(bytes, epoch) AS bytes FROM discards GROUP BY pack_id, hash)", "(SELECT pack_id, clen AS bytes FROM chunks WHERE refcount = 0)") + """, worth AS (SELECT pack_id FROM pd WHERE pack_id <> 24 AND (dead >= 9000 OR percent >= 9))
+SELECT 'chunks' AS what, pack_id, count(*) AS n FROM chunks WHERE refcount > 0 GROUP BY pack_id
+UNION ALL SELECT 'discards', pack_id, count(*) FROM (SELECT pack_id FROM discards UNION ALL SELECT pack_id FROM chunks WHERE refcount = 0) WHERE pack_id NOT IN (SELECT pack_id FROM worth) GROUP BY pack_id
+UNION ALL SELECT 'index', i.pack_id, count(DISTINCT CASE WHEN w.pack_id IS NULL THEN i.hash || i.seq ELSE i.hash END) FROM pack_index i LEFT JOIN worth w ON w.pack_id = i.pack_id LEFT JOIN chunks c ON c.hash = i.hash AND c.pack_id = i.pack_id AND c.refcount > 0 WHERE w.pack_id IS NULL OR c.hash IS NOT NULL GROUP BY i.pack_id
+UNION ALL SELECT 'phase', 0, 0"""
+
+
+def collected(s, packs_at_once: int | None, batch: int) -> DataFrame:
+    """Rows of each pack after a whole collection: scans from an empty cursor to the end, then rewriting until nothing qualifies.
+
+    Each cycle is a commit, and a new object goes on from the last one.
+    """
+    own = Settings(gc_pack_rewrite_min_reclaim_bytes=9000, gc_pack_rewrite_min_reclaim_percent=9.0)
+    root = shared_folder(s.spark)
+    again = lambda: collection.Collection(s.spark, root, PACKS, own, batch, packs_at_once)
+    again().start(s.chunks, s.discards, s.pack_index.select("pack_id", "hash", "offset", "codec", "ulen", "clen"))
+    while again().step() != "done":
+        pass
+    last = again()
+    counts = [last.table(n).groupBy("pack_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), F.col("pack_id").cast("long").alias("pack_id"), "n") for n in collection.TABLES]
+    phase = s.spark.createDataFrame([("phase", 0, int(last.state()["gc.phase"]))], "what string, pack_id long, n long")
+    return reduce(DataFrame.unionByName, [*counts, phase])
+
+
+@query(COLLECT_SQL)
+def t9_t10_t11_incremental_collection(s):
+    """Some packs a cycle, in pages of a third of the keys or so."""
+    return collected(s, 8, 1 + s.chunks.count() // 3)
+
+
+@query(COLLECT_SQL)
+def t14_collect_until_stable(s):
+    """The offline form: all packs that qualify at once."""
+    return collected(s, None, 1 << 30)

@@ -111,20 +111,37 @@ def decompress(codec: pd.Series, ulen: pd.Series, payload: pd.Series) -> pd.Seri
     return pd.Series([one(*x) for x in zip(codec, ulen, payload, strict=True)])
 
 
-DISCARD_VERSION = 1
+#: Length, version and flags; epoch, pack, hash, bytes, reserved (little-endian); CRC-32C of that second part.
+DISCARD_HEAD, DISCARD_BODY, DISCARD_CRC = struct.Struct("<HBB"), struct.Struct("<QQ16sII"), struct.Struct("<I")
+DISCARD_LENGTH, DISCARD_VERSION = 48, 1
+
+
+def encode_discards(epochs: list[int], packs: list[int], digests: list[bytes], sizes: list[int]) -> list[bytes]:
+    """Records of 48 bytes."""
+    bodies = [DISCARD_BODY.pack(e, p, d, n, 0) for e, p, d, n in zip(epochs, packs, digests, sizes, strict=True)]
+    head = DISCARD_HEAD.pack(DISCARD_LENGTH, DISCARD_VERSION, 0)
+    return [head + b + DISCARD_CRC.pack(c) for b, c in zip(bodies, crc32c_many(bodies).tolist(), strict=True)]
+
+
+def decode_discards(raws: list[bytes]) -> list[tuple[int, int, bytes, int] | None]:
+    """(epoch, pack, hash, bytes) of each record, or None if its length, version or checksum is wrong."""
+    whole = [r if r is not None and len(r) == DISCARD_LENGTH else bytes(DISCARD_LENGTH) for r in raws]
+    out = []
+    for raw, crc in zip(whole, crc32c_many([r[4:44] for r in whole]).tolist(), strict=True):
+        length, version, _ = DISCARD_HEAD.unpack_from(raw)
+        ok = length == DISCARD_LENGTH and version == DISCARD_VERSION and DISCARD_CRC.unpack_from(raw, 44)[0] == crc
+        out.append(DISCARD_BODY.unpack_from(raw, 4)[:4] if ok else None)
+    return out
 
 
-def encode_discard(epoch: int, pack_id: int, digest: bytes, size: int) -> bytes:
-    """48 bytes: checksum of the rest, version, padding, epoch, pack, hash, bytes (little-endian)."""
-    body = struct.pack("<IQQ16sI", DISCARD_VERSION, epoch, pack_id, digest, size)
-    return struct.pack("<I", int(crc32c_many([body])[0])) + body + b"\0" * (44 - len(body))
+@F.pandas_udf(T.BinaryType())
+def discard_record(epoch: pd.Series, pack_id: pd.Series, digest: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series(encode_discards(epoch.tolist(), pack_id.tolist(), digest.tolist(), size.tolist()), dtype=object)
 
 
-def decode_discard(raw: bytes) -> tuple[int, int, bytes, int] | None:
-    """The record of 48 bytes, or None if its length, version or checksum is wrong."""
-    if len(raw) != 48:
-        return None
-    crc, version, epoch, pack_id, digest, size = struct.unpack("<IIQQ16sI", raw[:44])
-    if version != DISCARD_VERSION or crc != int(crc32c_many([raw[4:44]])[0]):
-        return None
-    return epoch, pack_id, digest, size
+@F.pandas_udf(T.StructType([T.StructField("epoch", T.LongType()), T.StructField("pack_id", T.LongType()), T.StructField("hash", T.BinaryType()), T.StructField("bytes", T.LongType())]))
+def discard_fields(raw: pd.Series) -> pd.DataFrame:
+    """The fields of each record; all null where it isn't valid."""
+    rows = [x or (None,) * 4 for x in decode_discards(raw.tolist())]
+    found = pd.DataFrame(rows, columns=["epoch", "pack_id", "hash", "bytes"], dtype=object)
+    return found.astype({"epoch": "Int64", "pack_id": "Int64", "bytes": "Int64"})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.blocks import split_blocks
+from ..operators.dml import Tables
 from .tables import table
 
 #: Block size for the driver's texts, which are far below the default of 1 MiB.
@@ -154,6 +155,11 @@ class Store:
         dead = self.chunks.where("refcount = 0")
         return dead.selectExpr("1L as epoch", "pack_id", "hash", "clen as bytes").unionByName(dead.where("hash like '%7'").selectExpr("2L as epoch", "pack_id", "hash", "clen + 1 as bytes"))
 
+    @property
+    def tables(self) -> Tables:
+        """The namespace as one version."""
+        return Tables(self.dirents, self.inodes, self.extents.select("ino", "block_idx", "hash"), self.xattrs, self.symlinks)
+
     @property
     def snapshots(self) -> DataFrame:
         return self.spark.createDataFrame([("daily-2026-02-20", 2001, 1771545600), ("before-upgrade", 2002, 1771000000), ("empty", 2003, 1771632000)], "name string, root_ino long, created long")

@@ -1,4 +1,4 @@
-"""The write stream: micro-batches of operations, stateful sizes, incremental collection."""
+"""The write stream: micro-batches of operations, stateful sizes, the write service."""
 
 from __future__ import annotations
 
@@ -50,25 +50,47 @@ def totals(ops: DataFrame) -> DataFrame:
     return ops.groupBy("ino").agg(F.count("*").alias("ops"), F.max(F.col("offset") + F.col("length")).alias("size"))
 
 
-class CollectionState:
-    """Incremental collection: alternately scan for candidates from a cursor and rewrite one pack."""
-
-    def __init__(self, scan: Callable[[str | None], tuple[str | None, int]], rewrite: Callable[[], int | None]):
-        self.scan, self.rewrite = scan, rewrite
-        self.cursor: str | None = None
-        self.phase, self.epoch = "scan", 0
-
-    def step(self, idle: bool) -> str:
-        """One cycle; nothing happens unless the store is idle.  A scan that reaches the end starts rewriting, a rewrite that finds no pack starts anew."""
-        if not idle:
-            return "busy"
-        if self.phase == "scan":
-            self.cursor, found = self.scan(self.cursor)
-            self.epoch += bool(found)
-            if self.cursor is None:
-                self.phase = "rewrite"
-            return "scanned"
-        if self.rewrite() is None:
-            self.phase = "scan"
-            return "done"
-        return "rewritten"
+class WriteService:
+    """Operations put into a folder as files, and a stream that applies them: the queue is the folder, so it outlives both.
+
+    ``apply`` gets each micro-batch with its id and must be idempotent.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None], schema: str = OPS, files_per_batch: int = 4):
+        self.spark, self.folder, self.checkpoint, self.apply, self.schema, self.files = spark, folder, checkpoint, apply, schema, files_per_batch
+        self.closed, self.query = False, None
+        spark.createDataFrame([], schema).write.mode("append").parquet(folder)  # a stream needs the folder
+
+    def _stream(self, interval: str | None = None) -> DataStreamWriter:
+        ops = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.folder)
+        return batcher(ops, self.apply, self.checkpoint, interval)
+
+    def enqueue(self, ops: DataFrame) -> None:
+        """Adds operations; they are durable on return and applied later."""
+        if self.closed:
+            raise RuntimeError("the write service is closed")
+        ops.write.mode("append").parquet(self.folder)
+
+    def enqueue_and_wait(self, ops: DataFrame) -> None:
+        self.enqueue(ops)
+        self.drain()
+
+    def drain(self) -> None:
+        """Returns when all that has been put in is applied; the first error of a batch is raised here."""
+        if self.query is not None and self.query.isActive:
+            self.query.processAllAvailable()
+        else:
+            drain(self._stream())
+
+    def start(self, interval: str) -> None:
+        """Applies in the background, every ``interval`` (the periodic sync)."""
+        self.query = self._stream(interval).start()
+
+    def shutdown(self) -> None:
+        """Refuses new operations, applies the rest and ends; an error of the last batches is raised."""
+        self.closed = True
+        try:
+            self.drain()
+        finally:
+            if self.query is not None:
+                self.query.stop()

@@ -78,11 +78,18 @@ def test_codecs(spark):
         df.select(codecs.decompress(F.lit(0), F.col("z.ulen") + 1, "d")).collect()
 
 
-def test_discard_records():
-    raw = codecs.encode_discard(1, 7, b"\1" * 16, 1024)
-    assert len(raw) == 48 and codecs.decode_discard(raw) == (1, 7, b"\1" * 16, 1024)
-    assert codecs.decode_discard(raw[:-1]) is None
-    assert codecs.decode_discard(raw[:20] + bytes([raw[20] ^ 1]) + raw[21:]) is None
+def test_discard_records(spark):
+    """The layout in bytes: length, version, flags, then epoch, pack, hash, size and reserve, then their checksum."""
+    want = [(1, 7, b"\1" * 16, 1024), (2, 9, b"\2" * 16, 2048)]
+    raw = codecs.encode_discards(*(list(x) for x in zip(*want, strict=True)))
+    body = (1).to_bytes(8, "little") + (7).to_bytes(8, "little") + b"\1" * 16 + (1024).to_bytes(4, "little") + bytes(4)
+    assert raw[0] == b"\x30\0\1\0" + body + int(codecs.crc32c_many([body])[0]).to_bytes(4, "little") and len(raw[0]) == 48
+    assert codecs.decode_discards(raw) == want
+    spoiled = [raw[0][:-1], raw[0][:20] + bytes([raw[0][20] ^ 1]) + raw[0][21:], b"\x31" + raw[0][1:], raw[0][:2] + b"\2" + raw[0][3:], b"", None]
+    assert codecs.decode_discards(spoiled) == [None] * 6
+    df = spark.createDataFrame([(bytearray(x),) if x is not None else (None,) for x in [*raw, *spoiled]], "raw binary")
+    got = df.select(codecs.discard_fields("raw").alias("f")).select("f.*").collect()
+    assert [(r.epoch, r.pack_id, bytes(r.hash), r.bytes) for r in got[:2]] == want and all(r.bytes is None for r in got[2:])
 
 
 @pytest.mark.parametrize(("data", "sizes", "feed"), [(b"\x2a" * 100_000, (2048, 4096, 16384), 1024), (bytes(i % 251 for i in range(131_072)), (1024, 2048, 8192), 333), (b"", (1, 2, 3), 10), (np.random.default_rng(1).bytes(200_000), (1024, 4096, 16384), 17)])
@@ -112,7 +119,7 @@ def test_merge(i, a, j, b):
         assert out == bytes(want[start + k] for k in range(len(out))) and start == min(want)
 
 
-@pytest.mark.parametrize("bad", [{"zstd_compression_level": 23}, {"zstd_compression_level": -8}, {"gc_min_reclaim_percent": 100.1}, {"cdc_avg_size_bytes": 1}, {"cdc_max_size_bytes": 1}, {"pack_max_size_mb": 0}])
+@pytest.mark.parametrize("bad", [{"zstd_compression_level": 23}, {"zstd_compression_level": -8}, {"gc_pack_rewrite_min_reclaim_percent": 100.1}, {"ultracdc_avg_size_bytes": 1}, {"ultracdc_max_size_bytes": 1}, {"gc_discard_filename": ""}, {"pack_max_size_mb": 0}])
 def test_settings_bounds(bad):
     with pytest.raises(ValueError, match=next(iter(bad)).split("_")[0]):
         Settings(**bad)
@@ -120,6 +127,7 @@ def test_settings_bounds(bad):
 
 def test_settings_file(tmp_path):
     f = tmp_path / "c.toml"
-    f.write_text("pack_max_size_mb = 7\nunknown = 1\n")
-    assert Settings.load(f).pack_max_size_mb == 7
-    Settings(zstd_compression_level=-7, gc_min_reclaim_percent=0)
+    f.write_text("pack_max_size_mb = 7\nunknown = 1\nultracdc_max_size_bytes = 131072\ngc_pack_rewrite_min_reclaim_bytes = 5\nmount_point = 'x'\n")
+    own = Settings.load(f)
+    assert (own.pack_max_size_mb, own.ultracdc_max_size_bytes, own.gc_pack_rewrite_min_reclaim_bytes) == (7, 131072, 5)
+    Settings(zstd_compression_level=-7, gc_pack_rewrite_min_reclaim_percent=0)

@@ -1,13 +1,17 @@
 """Hand-computed cases for rules that the driver's tables don't reach."""
 
+import errno
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystone import catalog
-from quarrystone.operators import blocks, coalesce, dedup, dml, gc, namespace, packs, reads
-from quarrystone.plans import repack
-from quarrystone.sources import store, tables
-from quarrystone.streaming.writes import CollectionState
+from quarrystone.config import Settings
+from quarrystone.functions import cdc
+from quarrystone.operators import blocks, coalesce, dedup, dml, gc, namespace, order, packs, reads, vault
+from quarrystone.plans import collection, repack
+from quarrystone.sources import pack_files, store, tables
+from quarrystone.streaming import writes
 
 
 def rows(df, *columns):
@@ -89,18 +93,84 @@ def test_hard_links_count_once(spark):
     assert rows(namespace.logical_size(reached, inodes, F.lit("all")), "files", "bytes") == [(2, 110)]
 
 
-def test_namespace_errors(spark):
-    d = spark.createDataFrame([(1, "a", 2, 2), (2, "f", 3, 1), (1, "g", 4, 1)], "parent long, name string, ino long, kind int")
-    i = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 1)], "ino long, kind int")
-    with pytest.raises(Exception, match="not empty"):
-        dml.rmdir(d, i, 1, "a").collect()
-    with pytest.raises(Exception, match="not a directory"):
-        dml.rmdir(d, i, 1, "g").collect()
-    assert dml.rmdir(d, i.where("ino <> 3"), 1, "a").count() == 1  # an entry without an inode doesn't count
-    with pytest.raises(Exception, match="exists"):
-        dml.rename(d, (1, "g"), (1, "a"), replace=False).collect()
-    with pytest.raises(Exception, match="linked"):
-        dml.link(d, i.withColumn("nlink", F.lit(1)), spark.createDataFrame([(1, "n", 2)], "parent long, name string, ino long"))[0].collect()
+@pytest.fixture
+def small(spark):
+    """/a (directory) with f, lost (no inode) and read-only r; /g, hard-linked as /h; /e (empty directory); /s -> f."""
+    d = [(1, "a", 2, 2), (2, "f", 3, 1), (2, "lost", 9, 1), (2, "r", 6, 1), (1, "g", 4, 1), (1, "h", 4, 1), (1, "e", 5, 2), (1, "s", 7, 3)]
+    i = [(1, 2, 4, 0), (2, 2, 2, 0), (3, 1, 1, 0), (4, 1, 2, 0), (5, 2, 2, 2), (6, 1, 1, 1), (7, 3, 1, 0)]
+    make = spark.createDataFrame
+    inodes = make([(ino, kind, 420, 0, 0, n, 10, 1, flags) for ino, kind, n, flags in i], "ino long, kind int, perm int, uid long, gid long, nlink long, size long, mtime long, flags int")
+    extents = make([(3, 0, "x"), (4, 0, "x"), (4, 1, "y"), (9, 0, "z")], "ino long, block_idx long, hash string")
+    return dml.Tables(make(d, "parent long, name string, ino long, kind int"), inodes, extents, make([(3, "k", "v")], "ino long, name string, value string"), make([(7, "a/f")], "ino long, target string"))
+
+
+def names(spark, *rows):
+    return spark.createDataFrame(rows, "parent long, name string, ino long, kind int, perm int, uid long, gid long")
+
+
+def refused(code, change, *args, **more):
+    with pytest.raises(dml.Refused) as e:
+        change(*args, **more)
+    assert e.value.errno == code
+
+
+def links(t):
+    return {r.ino: r.nlink for r in t.inodes.collect()}
+
+
+def test_create(spark, small):
+    new = lambda parent, name, ino=50, kind=1: names(spark, (parent, name, ino, kind, 420, 0, 0))
+    for code, rows_ in ((errno.EEXIST, new(1, "g")), (errno.EEXIST, new(1, "n", 4)), (errno.ENOENT, new(99, "n")), (errno.ENOTDIR, new(4, "n")), (errno.EINVAL, new(1, "a/b")), (errno.EEXIST, new(1, "n").union(new(1, "n", 51)))):
+        refused(code, dml.create, small, rows_, 5)
+    t = dml.create(small, new(5, "n", 50, 2).union(new(2, "lost", 51)), 5)
+    made = {r.ino: r for r in t.inodes.collect()}
+    assert made[50].flags == 2 and made[50].nlink == 2 and made[5].nlink == 3 and made[5].mtime == 5 and made[2].mtime == 1 and len(made) == 9
+    assert (2, "lost", 51) in rows(t.dirents, "parent", "name", "ino") and t.dirents.count() == 9
+
+
+def test_link_and_unlink(spark, small):
+    at = lambda parent, name, ino=4: spark.createDataFrame([(parent, name, ino)], "parent long, name string, ino long")
+    for code, rows_ in ((errno.EEXIST, at(1, "g")), (errno.EPERM, at(1, "n", 2)), (errno.ENOENT, at(1, "n", 77)), (errno.EROFS, at(1, "n", 6))):
+        refused(code, dml.link, small, rows_)
+    t = dml.link(small, at(2, "n").union(at(2, "m", 7)))
+    assert links(t)[4] == 3 and links(t)[7] == 2 and (2, "m", 7, 3) in rows(t.dirents, "parent", "name", "ino", "kind")
+    for code, rows_ in ((errno.ENOENT, at(1, "none")), (errno.EISDIR, at(1, "a")), (errno.EROFS, at(2, "r"))):
+        refused(code, dml.unlink, small, rows_)
+    t = dml.unlink(small, at(1, "g"))
+    assert links(t)[4] == 1 and rows(t.deltas, "hash", "delta") == []
+    t = dml.unlink(t, at(1, "h").union(at(2, "f")).union(at(2, "lost")).union(at(1, "s")))
+    assert set(links(t)) == {1, 2, 5, 6} and rows(t.deltas, "hash", "delta") == [("x", -2), ("y", -1)]
+    assert rows(t.extents, "hash") == [("z",)] and t.xattrs.count() == t.symlinks.count() == 0
+    held = spark.createDataFrame([(3,)], "ino long")
+    t = dml.unlink(small, at(2, "f"), held)
+    assert links(t)[3] == 0 and t.extents.count() == 4
+    assert 3 in links(dml.purge_closed(t, held)) and 3 not in links(dml.purge_closed(t))
+
+
+def test_rmdir(spark, small):
+    at = lambda parent, name: spark.createDataFrame([(parent, name)], "parent long, name string")
+    for code, rows_ in ((errno.ENOTEMPTY, at(1, "a")), (errno.ENOTDIR, at(1, "g")), (errno.ENOENT, at(1, "none")), (errno.ENOENT, at(2, "lost"))):
+        refused(code, dml.rmdir, small, rows_, 5)
+    t = dml.rmdir(small, at(1, "e"), 5)
+    assert links(t)[1] == 3 and 5 not in links(t) and t.dirents.count() == 7
+    gone = dml.Tables(small.dirents.where("name not in ('f', 'r')"), small.inodes, small.extents, small.xattrs, small.symlinks)
+    assert rows(dml.rmdir(gone, at(1, "a"), 5).dirents, "name") == [("e",), ("g",), ("h",), ("s",)]  # the lost entry goes with it
+
+
+def test_rename(spark, small):
+    cases = [(errno.EEXIST, (1, "g"), (1, "s"), False), (errno.ENOENT, (1, "none"), (1, "n"), True), (errno.ENOTDIR, (1, "a"), (1, "g"), True), (errno.EISDIR, (1, "g"), (1, "a"), True), (errno.ENOTEMPTY, (1, "e"), (1, "a"), True), (errno.EROFS, (2, "r"), (1, "n"), True), (errno.ENOENT, (1, "g"), (99, "n"), True), (errno.EINVAL, (1, "g"), (1, ".."), True), (errno.ENOENT, (2, "lost"), (1, "n"), True)]
+    for code, source, target, overwrite in cases:
+        refused(code, dml.rename, small, source, target, 5, overwrite)
+    assert dml.rename(small, (1, "g"), (1, "h"), 5) is small  # names of one inode
+    t = dml.rename(small, (1, "g"), (2, "f"), 5)
+    assert (2, "f", 4) in rows(t.dirents, "parent", "name", "ino") and t.dirents.count() == 7 and 3 not in links(t) and rows(t.deltas, "hash", "delta") == [("x", -1)]
+    t = dml.rename(small, (1, "a"), (1, "e"), 5)  # over an empty directory
+    assert links(t)[1] == 3 and 5 not in links(t) and (1, "e", 2) in rows(t.dirents, "parent", "name", "ino")
+    t = dml.rename(small, (1, "e"), (2, "e"), 5)
+    assert (links(t)[1], links(t)[2]) == (3, 3)
+    refused(errno.ENOENT, dml.exchange, small, (1, "g"), (1, "none"), 5)
+    t = dml.exchange(small, (1, "a"), (1, "g"), 5)
+    assert {(1, "g", 2), (1, "a", 4), (1, "h", 4)} <= set(rows(t.dirents, "parent", "name", "ino"))
 
 
 def test_attributes(spark):
@@ -127,11 +197,116 @@ def test_pack_files(spark, tmp_path):
     assert tables.tree_size(spark, str(tmp_path)).first()[0] == 6
 
 
-def test_collection_phases():
-    pages, left = [("m", 3), (None, 0)], [1, 2]
-    state = CollectionState(lambda cursor: pages.pop(0), lambda: left.pop() if left else None)
-    assert [state.step(idle) for idle in (False, True, True, True, True, True)] == ["busy", "scanned", "scanned", "rewritten", "rewritten", "done"]
-    assert state.phase == "scan" and state.epoch == 1
+def test_collection_goes_on_after_a_stop(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, 1, 50), ("b", 1, 1, 50), ("c", 0, 2, 9), ("d", 1, 2, 50), ("e", 0, 3, 50)], "hash string, refcount long, pack_id int, clen long")
+    index = chunks.select("pack_id", "hash", F.lit(0).cast("long").alias("offset"), F.lit(0).alias("codec"), F.lit(64).cast("long").alias("ulen"), "clen")
+    log = spark.createDataFrame([], "epoch long, pack_id int, hash string, bytes long")
+    again = lambda: collection.Collection(spark, str(tmp_path), 3, Settings(gc_pack_rewrite_min_reclaim_bytes=50), batch=2)
+    again().start(chunks, log, index)
+    assert again().step(idle=False) == "busy" and again().state()["version"] == "1"
+    assert again().step() == "scanned" and again().state()["gc.cursor"] == "b" and rows(again().table("chunks"), "hash") == [("b",), ("c",), ("d",), ("e",)]
+    again().table("chunks").write.parquet(str(tmp_path / "chunks" / "v000000000003"))  # a commit that broke off
+    assert again().step() == "scanned" and again().state()["gc.epoch"] == "2"
+    assert again().step() == "scanned" and again().state()["gc.phase"] == collection.REWRITE
+    assert rows(again().table("discards"), "epoch", "pack_id", "hash", "bytes") == [(1, 1, "a", 50), (2, 2, "c", 9), (3, 3, "e", 50)]
+    assert again().step() == "rewritten" and rows(again().table("index"), "pack_id", "hash") == [(1, "b"), (2, "c"), (2, "d"), (3, "e")]
+    assert again().step() == "done" and again().state()["gc.phase"] == collection.SCAN  # pack 2 has too little, pack 3 is active
+    assert rows(again().table("discards"), "hash") == [("c",), ("e",)]
+    assert again().until_stable() == 1
+
+
+def test_ranks(spark):
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert rows(order.ranked(df, ["k"]), "k", "rank") == [(k, k + 1) for k in range(1000)]
+    assert rows(order.numbered_pages(df, ["k"], 300).groupBy("page").count(), "page", "count") == [(0, 300), (1, 300), (2, 300), (3, 100)]
+    assert order.ranked(df.limit(0), ["k"]).count() == 0
+
+
+def test_zero_ref_pages_follow_the_cursor(spark):
+    chunks = spark.range(0, 50).selectExpr("printf('%03d', id) as hash", "id % 3 as refcount", "cast(id % 4 as int) as pack_id", "id as clen")
+    want, cursor = [], None
+    while True:
+        page = gc.zero_ref_scan(chunks, cursor, 7)
+        want += rows(page, "hash", "pack_id", "clen", "next_cursor")
+        last = chunks.where(F.lit(cursor is None) | (F.col("hash") > cursor)).orderBy("hash").limit(7).agg(F.max("hash")).first()[0]
+        if last is None:
+            break
+        cursor = last
+    assert rows(gc.zero_ref_pages(chunks, 7), "hash", "pack_id", "clen", "next_cursor") == sorted(want)
+
+
+def test_pack_files_round_trip(spark, tmp_path):
+    records = spark.createDataFrame([(1, 1, pack_files.PACK_MAGIC, "0a" * 16, 0, 9, b"abc"), (1, 2, pack_files.PACK_MAGIC, "0b" * 16, 1, 9, b""), (8, 1, b"XXXX", "0c" * 16, 0, 1, b"z")], "pack_id long, seq long, magic binary, hash string, codec int, ulen long, payload binary")
+    assert rows(pack_files.write_packs(records, str(tmp_path)), "pack_id", "length") == [(1, 67), (8, 33)]
+    assert rows(tables.pack_files(spark, str(tmp_path)), "pack_id", "length") == [(1, 67), (8, 33)]
+    raw = (tmp_path / pack_files.pack_name(1)).read_bytes()
+    assert raw[:32] == b"VPK2" + b"\x0a" * 16 + bytes(4) + b"\x09\0\0\0\x03\0\0\0"
+    got = pack_files.read_records(spark, str(tmp_path))
+    assert rows(got, "pack_id", "offset", "hash", "clen") == [(1, 0, "0a" * 16, 3), (1, 35, "0b" * 16, 0), (8, 0, "0c" * 16, 1)]
+    assert rows(pack_files.bad_headers(got), "pack_id", "offset") == [(8, 0)]
+    (tmp_path / pack_files.pack_name(1)).write_bytes(raw[:-1])  # a torn tail
+    assert rows(pack_files.read_records(spark, str(tmp_path)).where("pack_id = 1"), "hash") == [("0a" * 16,)]
+
+
+def test_chunk_counts_are_those_of_plain_chunking(spark):
+    files = {r.ino: r.text for r in store.Store(spark, "/root/testdata/sf0.001").files.collect()}
+    got = dict(rows(catalog.QUERIES["p2_cdc_chunk_counts"](spark, "/root/testdata/sf0.001"), "ino", "chunks"))
+    assert got == {k: len(cdc.spans(t.encode(), 256, 1024, 4096)) for k, t in files.items()}
+
+
+def test_vault(spark, small):
+    t, own, material = vault.create(small, 60, "secret", 5)
+    assert {r.ino: r.flags for r in t.inodes.collect()}[60] == 6 and links(t)[1] == 5
+    refused(errno.EEXIST, vault.create, t, 61, "again", 6)
+    for password, key_file in (("other", material), ("secret", vault.generate_key())):
+        with pytest.raises(PermissionError):
+            own.unlock(spark, password, key_file)
+    with pytest.raises(PermissionError):
+        own.key()
+    opened = own.unlock(spark, "secret", material)
+    for change in (own.lock, lambda: opened.unlock(spark, "secret", material)):
+        with pytest.raises(OSError, match="vault is"):
+            change()
+    sealed = spark.range(1).select(vault.encrypt(F.lit(b"data"), opened.key()).alias("c"))
+    bad = F.concat(F.substring("c", F.lit(1), F.octet_length("c") - 1), F.lit(b"\0"))
+    got = sealed.select(vault.decrypt("c", opened.key()).alias("a"), vault.decrypt(bad, opened.key()).alias("b")).first()
+    assert bytes(got.a) == b"data" and got.b is None
+
+
+def test_conflicts_meet_in_one_bin(spark):
+    locks = spark.createDataFrame([(1, 1, 0, 100, "w"), (1, 2, 90, 300, "r"), (1, 3, 95, 96, "r"), (1, 4, 301, 400, "w"), (2, 5, 0, 400, "w"), (1, 6, 300, 300, "w")], "ino int, owner int, start long, end long, typ string")
+    for size in (1, 32, 1000):
+        assert rows(coalesce.conflicts(locks, size), "ino", "owner", "other") == [(1, 1, 2), (1, 1, 3), (1, 2, 6)]
+
+
+def test_write_service(spark, tmp_path):
+    """Operations are applied once, in batches; errors surface in drain; a closed service refuses."""
+    done, broken = [], []
+
+    def apply(batch, batch_id):
+        if broken:
+            raise ValueError("disk full")
+        done.append((batch_id, sorted(r.seq for r in batch.collect())))
+
+    make = lambda *seqs: spark.createDataFrame([(q, 1, 0, 5) for q in seqs], writes.OPS).coalesce(1)
+    service = writes.WriteService(spark, str(tmp_path / "ops"), str(tmp_path / "state"), apply)
+    service.enqueue(make(1, 2))
+    service.enqueue(make(3))
+    assert done == []
+    service.drain()
+    service.enqueue_and_wait(make(4))
+    assert sorted(q for _, seqs in done for q in seqs) == [1, 2, 3, 4]
+    broken.append(1)
+    service.enqueue(make(5))
+    with pytest.raises(Exception, match="disk full"):
+        service.drain()
+    broken.clear()
+    service.start("100 milliseconds")
+    service.enqueue_and_wait(make(6))
+    assert sorted(q for _, seqs in done for q in seqs) == [1, 2, 3, 4, 5, 6]
+    service.shutdown()
+    with pytest.raises(RuntimeError, match="closed"):
+        service.enqueue(make(7))
 
 
 def test_repack_guard():
