@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,27 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import shared_dir
 from ..ship import ship
 
 
-#: Folders of applications on a local master that name none.
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local master (as in tests) gets a temporary one; a cluster has no folder that would do.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
-        _local[spark.sparkContext.applicationId] = own
-    return own
-
-
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within, a query's shuffle files go as soon as its result is stored (in shared storage, so nothing needs them again)."""
