@@ -17,7 +17,7 @@ from .functions import cdc, codecs, scalars
 from .operators import audit, blocks, coalesce, dedup, dml, gc, namespace, packs, reads, snapshots, vault
 from .operators.order import numbered_pages, ranked
 from .plans import collection, repack, stats, write_path
-from .shared import new_path, stored
+from .shared import new_path, shared_dir, stored
 from .ship import ship
 from .sources import bootstrap, pack_files, tables
 from .sources.store import BLOCK, FILE0, PACKS, PRELUDE, Store
@@ -222,9 +222,9 @@ def k8_j13_n5_compact(s):
 
 @query()
 def k9_m9_crc_index(s):
-    """Every index row with the CRC-32C of its payload (the block's used bytes)."""
-    data = s.blocks.select(F.md5("data").alias("hash"), F.substring("data", F.lit(1), F.col("used").cast("int")).alias("payload")).dropDuplicates(["hash"])
-    return s.chunks.join(data, "hash").select("pack_id", "hash", codecs.crc32c("payload").alias("crc"))
+    """Every index row with the CRC-32C of its payload, read from the pack files."""
+    records = pack_files.read_records(s.spark, written_packs(s))
+    return records.select("pack_id", "offset", "hash", codecs.crc32c("payload").alias("crc"))
 
 
 SIZES_SQL = """, reach AS (SELECT d.name AS top, d.ino, d.kind FROM dirents d WHERE parent = 1 UNION ALL SELECT r.top, d.ino, d.kind FROM reach r JOIN dirents d ON d.parent = r.ino WHERE r.kind = 2),
@@ -474,6 +474,20 @@ def f5_f6_j15_lock_conflicts(s):
     return coalesce.conflicts(locks(s), 32)
 
 
+@query(f"WITH l AS ({LOCKS}) SELECT 'held' AS what, ino, owner, start, \"end\", typ FROM l WHERE owner % 2 = 0 UNION ALL SELECT 'refused', ino, owner, start, \"end\", typ FROM l a WHERE owner % 2 = 1 AND EXISTS (SELECT 1 FROM l b WHERE b.owner % 2 = 0 AND a.ino = b.ino AND a.start <= b.\"end\" AND b.start <= a.\"end\" AND (a.typ = 'w' OR b.typ = 'w')) UNION ALL SELECT 'held', ino, owner, start, \"end\", typ FROM l a WHERE owner % 2 = 1 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.owner % 2 = 0 AND a.ino = b.ino AND a.start <= b.\"end\" AND b.start <= a.\"end\" AND (a.typ = 'w' OR b.typ = 'w'))", prelude=False)
+def d30_setlk(s):
+    """Owners with even numbers hold their locks, those with odd ones ask for theirs: all of the lock table."""
+    even = F.col("owner") % 2 == 0
+    held, refused = coalesce.set_locks(locks(s).where(even), locks(s).where(~even), 32)
+    return held.select(F.lit("held").alias("what"), "*").unionByName(refused.select(F.lit("refused").alias("what"), "*"))
+
+
+@query()
+def d25_statfs(s):
+    """The storage of the shared folder: whether there is any, and what is used is not more."""
+    return tables.statfs(s.spark, shared_dir(s.spark)).select(((F.col("capacity") > 0) & (F.col("used") <= F.col("capacity")) & (F.col("available") >= 0)).alias("has_room"))
+
+
 @query("SELECT ino, CASE WHEN uid = 1002 THEN (perm // 64) & 6 = 6 WHEN gid IN (100, 102) THEN (perm // 8) & 6 = 6 ELSE perm & 6 = 6 END AS granted FROM inodes")
 def f8_access(s):
     return s.inodes.select("ino", scalars.access_granted(1002, 100, (102,), 6).alias("granted"))

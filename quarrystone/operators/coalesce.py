@@ -72,6 +72,22 @@ def last_writer(ops: DataFrame, size: int) -> DataFrame:
     return parts.select("ino", "block_idx", F.md5(F.aggregate("parts", padded(F.lit(b""), size), lambda acc, p: patched(acc, p["part"], p["dst_start"], size))).alias("hash"))
 
 
+def set_locks(held: DataFrame, requests: DataFrame, bin_size: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(held, refused) after requests (ino, owner, start, end, typ), which don't overlap each other; typ is r, w or u (unlock).
+
+    A request that conflicts with another owner's lock is refused.  Any other replaces its owner's locks that it overlaps.
+    """
+    touched = lambda df: df.withColumn("first", F.floor(F.col("start") / bin_size)).withColumn("bin", F.explode(F.sequence("first", F.floor(F.col("end") / bin_size))))
+    h, q = touched(held).alias("h"), touched(requests).alias("q")
+    meet = (F.col("h.ino") == F.col("q.ino")) & (F.col("h.bin") == F.col("q.bin")) & (F.col("h.start") <= F.col("q.end")) & (F.col("q.start") <= F.col("h.end"))
+    other = (F.col("h.owner") != F.col("q.owner")) & (F.col("q.typ") != "u") & ((F.col("h.typ") == "w") | (F.col("q.typ") == "w"))
+    key = ["ino", "owner", "start", "end", "typ"]
+    refused = q.join(h, meet & other, "left_semi").select(*key).distinct()
+    granted = requests.select(*key).join(refused, key, "left_anti")
+    replaced = h.join(touched(granted).alias("q"), meet & (F.col("h.owner") == F.col("q.owner")), "left_semi").select(*key).distinct()
+    return held.select(*key).join(replaced, key, "left_anti").unionByName(granted.where("typ <> 'u'")), refused
+
+
 def conflicts(locks: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
     """(ino, owner, other): pairs of locks of different owners on overlapping ranges of one inode, one at least for writing.
 

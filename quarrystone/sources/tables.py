@@ -53,6 +53,13 @@ def tree_size(spark: SparkSession, root: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def statfs(spark: SparkSession, root: str) -> DataFrame:
+    """(capacity, used, available) of the storage that holds a folder, in bytes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(path)
+    return spark.createDataFrame([(status.getCapacity(), status.getUsed(), status.getRemaining())], "capacity long, used long, available long")
+
+
 def publish(df: DataFrame, root: str, version: int) -> str:
     """One commit: a new version folder, complete or absent; earlier versions stay readable."""
     path = f"{root.rstrip('/')}/v{version:012d}"

@@ -279,6 +279,16 @@ def test_conflicts_meet_in_one_bin(spark):
         assert rows(coalesce.conflicts(locks, size), "ino", "owner", "other") == [(1, 1, 2), (1, 1, 3), (1, 2, 6)]
 
 
+def test_set_locks(spark):
+    shape = "ino int, owner int, start long, end long, typ string"
+    held = spark.createDataFrame([(1, 1, 0, 100, "w"), (1, 2, 200, 300, "r"), (1, 1, 400, 500, "r")], shape)
+    asked = spark.createDataFrame([(1, 2, 50, 60, "r"), (1, 3, 250, 260, "r"), (1, 1, 90, 150, "u"), (1, 3, 450, 460, "w"), (2, 9, 0, 10, "w")], shape)
+    for size in (10, 1 << 20):
+        now, refused = coalesce.set_locks(held, asked, size)
+        assert rows(refused, "owner", "start") == [(2, 50), (3, 450)]
+        assert rows(now, "ino", "owner", "start", "typ") == [(1, 1, 400, "r"), (1, 2, 200, "r"), (1, 3, 250, "r"), (2, 9, 0, "w")]
+
+
 def test_write_service(spark, tmp_path):
     """Operations are applied once, in batches; errors surface in drain; a closed service refuses."""
     done, broken = [], []
