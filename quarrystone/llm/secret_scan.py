@@ -143,6 +143,7 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rule_versi
     Findings are null where the ledger lacks the blob under these rules.  Repeated ledger rows count once.
     """
     of = ledger.where(F.col("rule_version") == rule_version).drop("rule_version").withColumnRenamed("blob", "__blob").dropDuplicates(["__blob"])
+    of = of.repartition(F.xxhash64("__blob"))  # apart from that aggregation, so that the join may split the versions of one blob
     return versions.select(*keep, blob_id().alias("__blob")).join(of, "__blob", "left").drop("__blob")
 
 
