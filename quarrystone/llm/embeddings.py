@@ -24,8 +24,8 @@ ROWS = 256
 EXACT = 1024
 #: Candidates of a shard, and queries taken together.
 SHARD, QUERIES = 16384, 2048
-#: Candidates scored together within a shard.
-POSTINGS = 4096
+#: Candidates scored together within a shard, and up to which share of them (one in so many) candidates are probed one by one.
+POSTINGS, FEW = 8192, 4
 #: Range of a score.
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -163,8 +163,8 @@ def max_score(queries: np.ndarray, own: np.ndarray, candidates: np.ndarray, ids:
     """(scores, places) of the k best of each query among candidates in order of their ids; whole numbers whose products fit in a double.
 
     A dimension is a term; its postings are the candidates' components.  A term's bound is the
-    most that its product can be in these postings.  Terms with the least spread between bound and
-    least product are non-essential as long as all of them together can't lift the least
+    most that its product can be in these postings.  Terms go by the spread of their postings, least first; the
+    first of them are non-essential as long as all of them together can't lift the least
     possible score over the k-th best so far.  Essential postings are traversed; the others are
     probed for candidates that can still compete.  Scores below a query's floor needn't be found.
     """
@@ -173,23 +173,28 @@ def max_score(queries: np.ndarray, own: np.ndarray, candidates: np.ndarray, ids:
     parts, out = [], []
     for a in range(0, len(candidates), POSTINGS):
         part = candidates[a : a + POSTINGS]
-        parts.append((a, np.ascontiguousarray(part.T.astype(kind)), part.min(0).astype(kind), part.max(0).astype(kind)))
-    for n, q in enumerate(queries.astype(kind)):
+        low, high = part.min(0), part.max(0)
+        terms = np.argsort(high - low, kind="stable")
+        parts.append((a, terms, np.ascontiguousarray(part.T[terms].astype(kind)), low[terms].astype(kind), high[terms].astype(kind)))
+    for n, whole_query in enumerate(queries.astype(kind)):
         best, where = np.zeros(0, kind), np.zeros(0, np.int64)
-        for a, postings, low, high in parts:
+        for a, terms, postings, low, high in parts:
+            q = whole_query[terms]
             bound, least = np.maximum(q * low, q * high), np.minimum(q * low, q * high)
             # a candidate with the floor's score may still tie; one that only ties with the k-th here has a larger id
             floor = max(float(floors[n]) - 0.5, float(best[-1]) if len(best) == k else -np.inf)
-            terms = np.argsort((bound - least).astype(np.float64), kind="stable")
-            reach = least.sum(dtype=np.float64) + np.cumsum((bound - least)[terms], dtype=np.float64)
-            cut = int((reach <= floor).sum())  # these terms alone lift no candidate over the floor
-            rest, essential = terms[:cut], terms[cut:]
-            score = q[essential] @ postings[essential] if len(essential) else np.zeros(postings.shape[1], kind)
-            live = np.arange(len(score))
-            if len(rest):
-                live = np.flatnonzero(score + bound[rest].sum() > floor)
-                score = score[live] + q[rest] @ postings[np.ix_(rest, live)]
-            more = (score > floor) & (ids[live + a] != own[n])
+            reach = least.sum(dtype=np.float64) + np.cumsum(bound - least, dtype=np.float64)
+            cut = int(np.searchsorted(reach, floor, "right"))  # these terms alone lift no candidate over the floor
+            if cut == len(q):
+                continue
+            score = q[cut:] @ postings[cut:]
+            live = np.flatnonzero(score + bound[:cut].sum() > floor)
+            if len(live) * FEW < len(score):
+                score = score[live] + q[:cut] @ postings[:cut, live]
+            else:
+                live, score = np.arange(len(score)), score + q[:cut] @ postings[:cut]
+            more = np.flatnonzero(score > floor)
+            more = more[ids[live[more] + a] != own[n]]
             best, where = best_first(np.concatenate([best, score[more]]), np.concatenate([where, live[more] + a]), k)
         out.append((best, where))
     return out
