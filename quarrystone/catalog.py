@@ -5,6 +5,7 @@ A query's name starts with the operator's id.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce, wraps
 
@@ -12,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .config import KIND_DIR, PACK_MAGIC, Settings
+from .config import KIND_DIR, PACK_MAGIC, SNAPSHOTS_INO, Settings, refused_setting
+from .control import Control
 from .functions import cdc, codecs, scalars
-from .operators import audit, blocks, coalesce, dedup, dml, gc, namespace, packs, reads, snapshots, vault
+from .operators import audit, blocks, coalesce, dedup, dml, gc, handles, namespace, packs, reads, snapshots, vault
 from .operators.order import numbered_pages, ranked
-from .plans import collection, repack, stats, write_path
+from .plans import collection, repack, session, stats, write_path
 from .shared import new_path, shared_dir, stored
 from .ship import ship
-from .sources import bootstrap, pack_files, tables
+from .sources import bootstrap, pack_files, permissions, tables
 from .sources.store import BLOCK, FILE0, PACKS, PRELUDE, Store
-from .streaming import writes
+from .streaming import sync, writes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -828,10 +830,14 @@ def d5_d8_create(s):
 UNLINK_SQL = ", gone AS (SELECT f.ino FROM f LEFT JOIN inodes i ON i.ino = f.ino WHERE coalesce(flags, 0) & 1 = 0), dead AS (SELECT i.ino FROM inodes i JOIN gone ON gone.ino = i.ino WHERE nlink = 1)"
 
 
-def unlinked(s):
-    """Without the name under /lang/source of every file that isn't read-only."""
+def unlink_names(s) -> DataFrame:
+    """The name under /lang/source of every file that isn't read-only."""
     names = s.files.join(s.srcs.withColumnRenamed("ino", "parent"), ["lang", "source"]).select(F.col("parent").cast("bigint").alias("parent"), F.col("doc_id").cast("string").alias("name"), "ino")
-    return dml.unlink(s.tables, names.join(s.inodes.where(~scalars.writable()).select("ino"), "ino", "left_anti"))
+    return names.join(s.inodes.where(~scalars.writable()).select("ino"), "ino", "left_anti")
+
+
+def unlinked(s):
+    return dml.unlink(s.tables, unlink_names(s))
 
 
 @query(UNLINK_SQL + " SELECT i.ino, CAST(nlink - CASE WHEN gone.ino IS NULL THEN 0 ELSE 1 END AS BIGINT) AS nlink FROM inodes i LEFT JOIN gone ON gone.ino = i.ino WHERE i.ino NOT IN (SELECT ino FROM dead)")
@@ -914,6 +920,42 @@ def d32_truncate(s):
     return reads.truncate(s.inodes, s.extents.select("ino", "block_idx", "hash"), payloads, new, BLOCK)
 
 
+@query(UNLINK_SQL + """, cut AS (SELECT ino FROM inodes WHERE kind = 1 AND flags & 1 = 0 AND uid <> 1001 AND ino NOT IN (SELECT ino FROM dead))
+SELECT 'size' AS what, CAST(ino AS VARCHAR) AS name, CASE WHEN ino IN (SELECT ino FROM cut) THEN 0 ELSE size END AS n FROM inodes WHERE ino NOT IN (SELECT ino FROM dead)
+UNION ALL SELECT 'delta', hash, CAST(-count(*) AS BIGINT) FROM extents WHERE ino IN (SELECT ino FROM dead UNION ALL SELECT ino FROM cut) GROUP BY hash""")
+def d17_d20_open_release(s):
+    """Every file is opened, those of one owner and read-only ones untruncated, unlinked while open, and closed."""
+    files = s.inodes.where("kind = 1")
+    new = files.select(F.col("ino").alias("fh"), "ino", (scalars.writable() & (F.col("uid") != 1001)).alias("truncate"))
+    t, held = handles.opened(s.tables, new.select("fh", "ino").limit(0), new)
+    t = dml.unlink(t, unlink_names(s), held.select("ino"))
+    t, held = handles.released(t, held, new.select("fh"))
+    rows = t.inodes.selectExpr("'size' as what", "cast(ino as string) as name", "size as n")
+    return rows.unionByName(t.deltas.selectExpr("'delta' as what", "hash as name", "delta as n"))
+
+
+@query("SELECT count(*) AS files, true AS modes FROM (SELECT DISTINCT pack_id FROM pack_index)")
+def m14_permissions(s):
+    """The folder of the pack files: how many files, and whether all modes are as they must be."""
+    found = permissions.normalize_tree(s.spark, written_packs(s))
+    packs_ = [mode for path, folder, mode in found if not folder and path.endswith(".vpk")]
+    good = all(mode == (permissions.DIR_MODE if folder else permissions.FILE_MODE) for _, folder, mode in found)
+    return s.spark.createDataFrame([(len(packs_), good)], "files long, modes boolean")
+
+
+@query("""SELECT ino, CASE WHEN n = 0 THEN 'batch_max_size_mb' WHEN ino % 41 > 29 THEN 'zstd_compression_level' WHEN n > 4096 THEN 'ultracdc' WHEN ino % 150 > 100 THEN 'gc_pack_rewrite_min_reclaim_percent' ELSE '' END AS refused FROM f""")
+def f13_settings(s):
+    """A settings file for each document, with values from its number and size: the first setting that is refused."""
+    text = F.concat_ws("\n", F.format_string("batch_max_size_mb = %d", "n"), F.format_string("zstd_compression_level = %d", F.col("ino") % 41 - 7), F.format_string("ultracdc_min_size_bytes = %d\nultracdc_avg_size_bytes = 4096\nultracdc_max_size_bytes = 8192", F.greatest("n", F.lit(1))), F.format_string("gc_pack_rewrite_min_reclaim_percent = %d", F.col("ino") % 150))
+
+    def check(batches):
+        for pdf in batches:
+            pdf["refused"] = [refused_setting(t) for t in pdf.pop("text")]
+            yield pdf
+
+    return s.files.select("ino", text.alias("text")).mapInPandas(check, "ino long, refused string")
+
+
 @query("SELECT * FROM (VALUES ('inodes', 2), ('dirents', 1), ('extents', 0), ('chunks', 0), ('sys', 5)) AS t(name, n)", prelude=False)
 def m10_bootstrap(s):
     made = bootstrap.bootstrap(s.spark, 0)
@@ -1003,6 +1045,25 @@ def t12_versions(s):
     updates = s.spark.read.option("recursiveFileLookup", True).schema("ino long, version long, size long, batch int").parquet(root + "/updates")
     return updates.groupBy("ino").agg(F.max("version").alias("version"), F.max("size").alias("size"))
 
+@query(STREAM_SQL, prelude=False)
+def t2_t3_t4_t5_write_service(s):
+    """Operations put in by halves, one waited for; shutting down applies the other.  The second service goes on where the first ended."""
+    root = shared_folder(s.spark)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        writes.totals(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/applied/{batch_id}")
+
+    ops = turns(s).select("seq", "ino", F.col("offset").cast("bigint").alias("offset"), "length")
+    service = lambda: writes.WriteService(s.spark, root + "/ops", root + "/state", apply)
+    first = service()
+    first.enqueue_and_wait(ops.where("seq % 2 = 0"))
+    first.shutdown()
+    second = service()
+    second.enqueue(ops.where("seq % 2 = 1"))
+    second.shutdown()
+    done = s.spark.read.option("recursiveFileLookup", True).schema("ino long, ops long, size long, batch int").parquet(root + "/applied")
+    return done.groupBy("ino").agg(F.sum("ops").alias("ops"), F.max("size").alias("size"))
+
 
 COLLECT_SQL = DEAD_SQL.replace("(SELECT pack_id, arg_max(bytes, epoch) AS bytes FROM discards GROUP BY pack_id, hash)", "(SELECT pack_id, clen AS bytes FROM chunks WHERE refcount = 0)") + """, worth AS (SELECT pack_id FROM pd WHERE pack_id <> 24 AND (dead >= 9000 OR percent >= 9))
 SELECT 'chunks' AS what, pack_id, count(*) AS n FROM chunks WHERE refcount > 0 GROUP BY pack_id
@@ -1011,6 +1072,12 @@ UNION ALL SELECT 'index', i.pack_id, count(DISTINCT CASE WHEN w.pack_id IS NULL
 UNION ALL SELECT 'phase', 0, 0"""
 
 
+def pack_counts(store: collection.Collection) -> DataFrame:
+    """(what, pack_id, n): rows of each pack in the store's tables."""
+    counts = [store.table(n).groupBy("pack_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), F.col("pack_id").cast("long").alias("pack_id"), "n") for n in collection.TABLES]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def collected(s, packs_at_once: int | None, batch: int) -> DataFrame:
     """Rows of each pack after a whole collection: scans from an empty cursor to the end, then rewriting until nothing qualifies.
 
@@ -1023,9 +1090,8 @@ def collected(s, packs_at_once: int | None, batch: int) -> DataFrame:
     while again().step() != "done":
         pass
     last = again()
-    counts = [last.table(n).groupBy("pack_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), F.col("pack_id").cast("long").alias("pack_id"), "n") for n in collection.TABLES]
     phase = s.spark.createDataFrame([("phase", 0, int(last.state()["gc.phase"]))], "what string, pack_id long, n long")
-    return reduce(DataFrame.unionByName, [*counts, phase])
+    return pack_counts(last).unionByName(phase)
 
 
 @query(COLLECT_SQL)
@@ -1038,3 +1104,47 @@ def t9_t10_t11_incremental_collection(s):
 def t14_collect_until_stable(s):
     """The offline form: all packs that qualify at once."""
     return collected(s, None, 1 << 30)
+
+
+@query(COLLECT_SQL + " UNION ALL SELECT 'reads', 0, 7")
+def t7_t8_f12_d21_sync(s):
+    """Sync cycles until collection is done: none collects while the store is busy or in a full sync; counters are kept."""
+    own = Settings(gc_pack_rewrite_min_reclaim_bytes=9000, gc_pack_rewrite_min_reclaim_percent=9.0)
+    store = collection.Collection(s.spark, shared_folder(s.spark), PACKS, own, 1 << 30, None)
+    store.start(s.chunks, s.discards, s.pack_index.select("pack_id", "hash", "offset", "codec", "ulen", "clen"))
+    service = sync.SyncService(store)
+    service.counters["reads"], service.idle = 7, False
+    before = store.state()["gc.epoch"]
+    if service.cycle(full=False) != "busy" or service.fsync() != "synced" or store.state()["gc.epoch"] != before:
+        raise AssertionError("collected out of turn")
+    service.idle = True
+    while service.cycle(full=False) != "done":
+        pass
+    service.shutdown()
+    state = store.state()
+    kept = s.spark.createDataFrame([("phase", 0, int(state["gc.phase"])), ("reads", 0, int(state["counter.reads"]))], "what string, pack_id long, n long")
+    return pack_counts(store).unionByName(kept)
+
+
+SESSION_SQL = TREE_SQL + """, k AS (SELECT count(*) AS n FROM tree t JOIN inodes i ON i.ino = t.ino)
+SELECT * FROM (VALUES (0, true, '', ''), (1, true, 'monday', ''), (2, false, '', 'exists'), (3, false, '', 'invalid'), (4, true, 'monday', ''), (5, true, '', ''), (6, false, '', 'missing'), (7, true, '', ''), (8, false, '', 'invalid'), (9, false, '', 'invalid')) AS t(pos, ok, names, error)
+UNION ALL SELECT 10, true, CAST((SELECT count(*) + 1 FROM inodes) + n + 1 AS VARCHAR), 'inodes with a snapshot' FROM k
+UNION ALL SELECT 11, true, CAST(count(*) + 1 AS VARCHAR), 'inodes without it' FROM inodes
+UNION ALL SELECT 12, true, CAST(sum(refcount) AS VARCHAR), 'references' FROM chunks"""
+
+
+@query(SESSION_SQL)
+def m11_m12_control(s):
+    """A dialogue of the control protocol over the whole store: responses, and what a snapshot adds and its deletion takes away."""
+    new = s.spark.createDataFrame([(1, ".snapshots", SNAPSHOTS_INO, KIND_DIR, 493, 0, 0)], "parent long, name string, ino long, kind int, perm int, uid long, gid long")
+    own = session.Session(dml.create(s.tables, new, 5).stored(), stored(s.chunks), s.snapshots.limit(0))
+    control, inodes = Control(own.operations()), []
+    lines = ['{"op": "snapshot_create", "name": "monday"}', '{"op": "snapshot_list"}', '{"op": "snapshot_create", "name": "monday"}', '{"op": "snapshot_create", "name": "a/b"}', '{"op": "snapshot_list"}', '{"op": "snapshot_delete", "name": "monday"}', '{"op": "snapshot_delete", "name": "monday"}', '{"op": "snapshot_list"}', '{"op": "snapshot_create"}', "no JSON"]
+    kinds = {"EEXIST": "exists", "EINVAL": "invalid", "invalid": "invalid", "ENOENT": "missing"}
+    out = []
+    for pos, answer in enumerate(map(json.loads, control.serve(lines))):
+        error = next((v for k, v in kinds.items() if k in answer["error"]), answer["error"])
+        out.append((pos, answer["ok"], ",".join(answer["names"]), error))
+        inodes.append(own.tables.inodes)
+    counts = [(10, True, str(inodes[4].count()), "inodes with a snapshot"), (11, True, str(inodes[-1].count()), "inodes without it"), (12, True, str(own.chunks.agg(F.sum("refcount")).first()[0]), "references")]
+    return s.spark.createDataFrame(out + counts, "pos int, ok boolean, names string, error string")

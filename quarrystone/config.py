@@ -64,3 +64,12 @@ class Settings:
     def parse(cls, text: str) -> Settings:
         given = tomllib.loads(text)
         return cls(**{k: v for k, v in given.items() if k in {x.name for x in fields(cls)}})
+
+
+def refused_setting(text: str) -> str:
+    """The setting that a settings file is refused for; empty if it is accepted."""
+    try:
+        Settings.parse(text)
+    except ValueError as e:
+        return str(e).split(" ")[0]
+    return ""
