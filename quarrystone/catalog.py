@@ -1133,11 +1133,16 @@ UNION ALL SELECT 11, true, CAST(count(*) + 1 AS VARCHAR), 'inodes without it' FR
 UNION ALL SELECT 12, true, CAST(sum(refcount) AS VARCHAR), 'references' FROM chunks"""
 
 
+def new_session(s) -> session.Session:
+    """A session over the store, with an empty folder of snapshots."""
+    new = s.spark.createDataFrame([(1, ".snapshots", SNAPSHOTS_INO, KIND_DIR, 493, 0, 0)], "parent long, name string, ino long, kind int, perm int, uid long, gid long")
+    return session.Session(dml.create(s.tables, new, 5).stored(), stored(s.chunks), s.snapshots.limit(0))
+
+
 @query(SESSION_SQL)
 def m11_m12_control(s):
     """A dialogue of the control protocol over the whole store: responses, and what a snapshot adds and its deletion takes away."""
-    new = s.spark.createDataFrame([(1, ".snapshots", SNAPSHOTS_INO, KIND_DIR, 493, 0, 0)], "parent long, name string, ino long, kind int, perm int, uid long, gid long")
-    own = session.Session(dml.create(s.tables, new, 5).stored(), stored(s.chunks), s.snapshots.limit(0))
+    own = new_session(s)
     control, inodes = Control(own.operations()), []
     lines = ['{"op": "snapshot_create", "name": "monday"}', '{"op": "snapshot_list"}', '{"op": "snapshot_create", "name": "monday"}', '{"op": "snapshot_create", "name": "a/b"}', '{"op": "snapshot_list"}', '{"op": "snapshot_delete", "name": "monday"}', '{"op": "snapshot_delete", "name": "monday"}', '{"op": "snapshot_list"}', '{"op": "snapshot_create"}', "no JSON"]
     kinds = {"EEXIST": "exists", "EINVAL": "invalid", "invalid": "invalid", "ENOENT": "missing"}

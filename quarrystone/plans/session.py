@@ -6,6 +6,7 @@ import errno
 import time
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,9 @@ class Session:
     def __init__(self, tables: dml.Tables, chunks: DataFrame, known: DataFrame, clock: Callable[[], float] = time.time):
         self.spark, self.tables, self.chunks, self.known, self.clock = tables.dirents.sparkSession, tables, chunks, known, clock
         self.vault: vault.Vault | None = None
+        # inode numbers aren't used again, nor are those that only lost inodes' rows still hold
+        used = [getattr(tables, n).agg(F.max("ino").alias("ino")) for n in ("inodes", "dirents", "extents", "xattrs", "symlinks")]
+        self.next_ino = max(r.ino or 0 for r in reduce(DataFrame.unionByName, used).collect()) + 1
 
     def operations(self) -> dict[str, Callable]:
         names = ("snapshot_create", "snapshot_list", "snapshot_delete", "vault_create", "vault_unlock", "vault_lock", "stats")
@@ -58,9 +62,10 @@ class Session:
             raise dml.Refused(errno.ENOENT, "there is no folder of snapshots")
         taken = new.join(self.known.select("name").unionByName(t.dirents.where(F.col("parent") == SNAPSHOTS_INO).select("name")), "name", "left_semi")
         dml.refuse(dml.problem(new, ~valid_name("name"), errno.EINVAL), dml.problem(taken, F.lit(True), errno.EEXIST))
-        root = t.inodes.agg(F.max("ino")).first()[0] + 1
+        root = self.next_ino
         live = t.dirents.where((F.col("parent") != ROOT_INO) | (F.col("ino") != SNAPSHOTS_INO)).join(t.inodes.select("ino"), "ino", "left_semi")
         ids = stored(snapshots.clone_ids(namespace.below(live, ROOT_INO), root + 1))
+        self.next_ino += 1 + ids.count()
         copied = lambda rows: rows.unionByName(snapshots.clone_rows(rows, ids))
         readonly = F.col("flags").bitwiseOR(F.lit(FLAG_READONLY)).alias("flags")
         frozen = lambda rows: rows.select(*(readonly if c == "flags" else c for c in t.inodes.columns))
@@ -92,7 +97,7 @@ class Session:
         path = Path(key_path or "vault.key").absolute()
         if path.exists():
             raise FileExistsError(errno.EEXIST, "the key file exists", str(path))
-        ino = self.tables.inodes.agg(F.max("ino")).first()[0] + 1
+        ino, self.next_ino = self.next_ino, self.next_ino + 1
         done, own, material = vault.create(self.tables, ino, password, int(self.clock()))
         path.touch(mode=0o600)
         path.write_bytes(material)

@@ -20,7 +20,7 @@ def normalize_tree(spark: SparkSession, root: str) -> list[tuple[str, bool, int]
         return []
     mode = jvm.org.apache.hadoop.fs.permission.FsPermission
     out, waiting = [], [files.getFileStatus(top)]  # the root may be a link, what is below it is taken as it is
-    base = waiting[0].getPath().toString().rstrip("/")
+    base = waiting[0].getPath().toUri().getPath().rstrip("/")
     while waiting:
         at = waiting.pop()
         if at.isSymlink():
@@ -28,7 +28,8 @@ def normalize_tree(spark: SparkSession, root: str) -> list[tuple[str, bool, int]
         want = DIR_MODE if at.isDirectory() else FILE_MODE
         files.setPermission(at.getPath(), mode(f"{want:o}"))
         if at.isDirectory():
-            waiting.extend(files.getFileLinkStatus(f.getPath()) for f in files.listStatus(at.getPath()))
+            # paths without a scheme, as the local file system tells links by these only
+            waiting.extend(files.getFileLinkStatus(jvm.org.apache.hadoop.fs.Path(f.getPath().toUri().getPath())) for f in files.listStatus(at.getPath()))
         got = int(files.getFileStatus(at.getPath()).getPermission().toShort())
-        out.append((at.getPath().toString()[len(base) + 1 :], at.isDirectory(), got))
+        out.append((at.getPath().toUri().getPath()[len(base) + 1 :], at.isDirectory(), got))
     return sorted(out)

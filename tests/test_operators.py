@@ -1,17 +1,21 @@
 """Hand-computed cases for rules that the driver's tables don't reach."""
 
 import errno
+import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystone import catalog
-from quarrystone.config import Settings
+from quarrystone.config import Settings, refused_setting
+from quarrystone.control import Control, parse
 from quarrystone.functions import cdc
-from quarrystone.operators import blocks, coalesce, dedup, dml, gc, namespace, order, packs, reads, vault
-from quarrystone.plans import collection, repack
-from quarrystone.sources import pack_files, store, tables
-from quarrystone.streaming import writes
+from quarrystone.operators import blocks, coalesce, dedup, dml, gc, handles, namespace, order, packs, reads, vault
+from quarrystone.plans import collection, repack, session
+from quarrystone.sources import pack_files, permissions, store, tables
+from quarrystone.streaming import sync, writes
 
 
 def rows(df, *columns):
@@ -323,3 +327,123 @@ def test_repack_guard():
     repack.check_pack_size(None, 5)
     with pytest.raises(ValueError, match="repack"):
         repack.check_pack_size(4, 5)
+
+
+def test_control_requests():
+    seen = []
+    control = Control({"snapshot_list": lambda: ["a", "b"], "vault_create": lambda password, key_path=None: seen.append((password, key_path)) or "written", "vault_lock": lambda: None})
+    answers = [json.loads(a) for a in control.serve(['{"op": "snapshot_list", "more": 1}', "", '{"op": "vault_create", "password": "p"}', '{"op": "vault_create", "password": "p", "key_path": "k"}', '{"op": "vault_lock"}'])]
+    assert [(a["ok"], a["names"], a["message"]) for a in answers] == [(True, ["a", "b"], ""), (True, [], "written"), (True, [], "written"), (True, [], "")]
+    assert seen == [("p", None), ("p", "k")]
+    for line in ("no JSON", "[]", "{}", '{"op": "other"}', '{"op": ["stats"]}', '{"op": "vault_create"}', '{"op": "snapshot_create", "name": 5}', '{"op": "stats"}'):
+        answer = json.loads(control.handle(line))
+        assert not answer["ok"] and answer["error"]
+    assert parse('{"op": "vault_unlock", "password": "p", "key_file": "f"}') == ("vault_unlock", {"password": "p", "key_file": "f"})
+    with pytest.raises(ValueError, match="no such"):
+        Control({"format": lambda: None})
+
+
+def test_session(spark, small, tmp_path):
+    """Snapshots share blocks and go whole; a vault is made once, its key file is needed; the report tells counts."""
+    moved = lambda df, *cols: df.select(*(F.when(F.col(c) > 1, F.col(c) + 10).otherwise(F.col(c)).alias(c) if c in cols else c for c in df.columns))
+    small = dml.Tables(moved(small.dirents, "parent", "ino"), *(moved(x, "ino") for x in (small.inodes, small.extents, small.xattrs, small.symlinks)))
+    files = small.extents.groupBy("hash").agg(F.count("*").alias("refcount"))
+    chunks = files.selectExpr("hash", "refcount", "1 as pack_id", "1 as codec", "4L as ulen", "3L as clen")
+    folder = spark.createDataFrame([(1, ".snapshots", 2, 2, 493, 0, 0)], "parent long, name string, ino long, kind int, perm int, uid long, gid long")
+    start = dml.create(small, folder, 5).stored()
+    before = {n: rows(getattr(start, n), "*") for n in ("dirents", "inodes", "extents")}
+    counts = rows(chunks, "hash", "refcount")
+    own = session.Session(start, chunks, spark.createDataFrame([], "name string, root_ino long, created long"), clock=lambda: 9)
+    own.snapshot_create("one")
+    assert rows(own.chunks, "hash", "refcount") == [("x", 5), ("y", 3), ("z", 1)]  # hard links part, what is lost isn't cloned
+    assert own.tables.inodes.where("flags & 1 = 0").count() == start.inodes.where("flags & 1 = 0").count()
+    own.snapshot_create("two")  # no snapshot of a snapshot
+    assert own.snapshot_list() == ["one", "two"] and rows(own.chunks, "hash", "refcount") == [("x", 8), ("y", 5), ("z", 1)]
+    refused(errno.EEXIST, own.snapshot_create, "one")
+    assert "orphan_extents: 1\nmissing_chunks: 0\nrefcount_mismatches: 0" in own.stats()
+    for name in ("one", "two"):
+        own.snapshot_delete(name)
+    refused(errno.ENOENT, own.snapshot_delete, "one")
+    refused(errno.EINVAL, own.snapshot_create, "..")
+    assert {n: rows(getattr(own.tables, n), "*") for n in before} == before and rows(own.chunks, "hash", "refcount") == counts
+    refused(errno.ENOENT, own.vault_lock)
+    path = own.vault_create("secret", str(tmp_path / "key"))
+    assert os.stat(path).st_mode & 0o777 == 0o600
+    with pytest.raises(FileExistsError):
+        own.vault_create("secret", path)
+    with pytest.raises(PermissionError):
+        own.vault_unlock("other", path)
+    own.vault_unlock("secret", path)
+    own.vault_lock()
+
+
+def test_handles(spark, small):
+    new = lambda *r: spark.createDataFrame([*r], "fh long, ino long, truncate boolean")
+    none = spark.createDataFrame([], "fh long, ino long")
+    entry = small.dirents.where("kind = 1").first()
+    file, size = entry.ino, small.inodes.where(F.col("ino") == entry.ino).first()["size"]
+    refused(errno.ENOENT, handles.opened, small, none, new((1, 999, False)))
+    refused(errno.EISDIR, handles.opened, small, none, new((1, 1, False)))
+    refused(errno.EBADF, handles.opened, small, none, new((1, file, False), (1, file, False)))
+    t, held = handles.opened(small, none, new((1, file, False), (2, file, False)))
+    assert t.inodes.where(F.col("ino") == file).first()["size"] == size
+    names = small.dirents.where(F.col("ino") == file).select("parent", "name")
+    t = dml.unlink(t, names, held.select("ino"))
+    t, held = handles.released(t, held, spark.createDataFrame([(1,)], "fh long"))
+    assert t.inodes.where(F.col("ino") == file).first()["nlink"] == 0
+    refused(errno.EBADF, handles.released, t, held, spark.createDataFrame([(1,)], "fh long"))
+    t, held = handles.released(t, held, spark.createDataFrame([(2,)], "fh long"))
+    assert t.inodes.where(F.col("ino") == file).isEmpty() and held.isEmpty()
+    t, _ = handles.opened(small, none, new((1, file, True)))
+    assert t.inodes.where(F.col("ino") == file).first()["size"] == 0 and t.extents.where(F.col("ino") == file).isEmpty()
+
+
+def test_permissions(spark, tmp_path):
+    root, outside = tmp_path / "data", tmp_path / "outside"
+    (root / "A").mkdir(parents=True)
+    outside.write_bytes(b"x")
+    for p in (outside, root / "A" / "pack", root / "log"):
+        p.write_bytes(b"x")
+        p.chmod(0o604)
+    (root / "A" / "link").symlink_to(outside)
+    assert permissions.normalize_tree(spark, str(root)) == [("", True, 0o770), ("A", True, 0o770), ("A/pack", False, 0o660), ("log", False, 0o660)]
+    assert outside.stat().st_mode & 0o777 == 0o604 and (root / "log").stat().st_mode & 0o777 == 0o660
+    assert permissions.normalize_tree(spark, str(tmp_path / "missing")) == []
+
+
+def test_sync_service(spark, tmp_path):
+    """Background cycles go on after an error; the last sync is a full one and raises."""
+    chunks = spark.createDataFrame([("a", 0, 1, 5), ("b", 1, 1, 5)], "hash string, refcount long, pack_id int, clen long")
+    log = spark.createDataFrame([], "epoch long, pack_id int, hash string, bytes long")
+    index = spark.createDataFrame([(1, "a", 0, 1, 5, 5)], "pack_id int, hash string, offset long, codec int, ulen long, clen long")
+    store_ = collection.Collection(spark, str(tmp_path), 3, batch=10)
+    store_.start(chunks, log, index)
+    service = sync.SyncService(store_)
+    service.counters["errors"] = 4
+    assert service.cycle(full=True) == "synced" and store_.state()["counter.errors"] == "4" and store_.table("chunks").count() == 2
+    version = store_.state()["version"]
+    assert service.fsync() == "synced" and store_.state()["version"] == version  # nothing changed
+    step, calls = store_.step, []
+
+    def flaky(idle):
+        calls.append(idle)
+        if len(calls) == 1:
+            raise OSError("disk full")
+        return step(idle)
+
+    store_.step = flaky
+    service.start(0.05)
+    end = time.time() + 30
+    while len(calls) < 3 and time.time() < end:
+        time.sleep(0.05)
+    service.shutdown()
+    assert service.errors == 1 and len(calls) >= 3 and store_.table("chunks").count() == 1
+    store_.commit = lambda *a, **k: (_ for _ in ()).throw(OSError("disk full"))
+    service.counters["errors"] = 5
+    with pytest.raises(OSError, match="disk full"):
+        service.shutdown()
+
+
+def test_refused_settings():
+    assert refused_setting("") == "" and refused_setting("zstd_compression_level = 23") == "zstd_compression_level"
+    assert refused_setting("ultracdc_min_size_bytes = 70000") == "ultracdc"
