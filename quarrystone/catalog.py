@@ -743,7 +743,7 @@ CLONE_SQL = TREE_SQL + ", ids AS (SELECT path, ino, kind, split_part(path, '/',
 
 
 def tree(s) -> DataFrame:
-    return namespace.below(s.dirents, 1)
+    return namespace.below(stored(s.dirents, "dirents"), 1)  # a table of its own, as in a store: each level reads it
 
 
 def clone(s) -> DataFrame:
