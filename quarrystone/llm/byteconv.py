@@ -15,6 +15,7 @@ import numpy as np
 
 #: Bytes in a pooling block; a chunk is a few blocks.
 BLOCK = 32
+COUNTDOWN = np.arange(BLOCK, 0, -1, dtype=np.uint8)[:, None]
 #: Bytes convolved at once, which bounds memory whatever a text's length.
 RUN_BYTES = 1 << 15
 
@@ -64,7 +65,12 @@ class FilterBank:
             for k, p in enumerate(self.pairs[1:], 1):
                 out += p.take(two[2 * k : 2 * k + n], 0)
             return out
-        parts = [sum(t[k].take(b[k : k + n], 0) for k in range(len(t))) for t in self.tables]
+        parts = []
+        for t in self.tables:
+            out = t[0].take(b[:n], 0)
+            for k in range(1, len(t)):
+                out += t[k].take(b[k : k + n], 0)
+            parts.append(out)
         return parts[0] if len(parts) == 1 else np.concatenate(parts, 1)
 
     def block_max(self, data: np.ndarray, last: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -76,15 +82,22 @@ class FilterBank:
             r = self.responses(padded[i : i + n + self.reach + 1], n).reshape(n // BLOCK, BLOCK, -1)
             own = last[np.searchsorted(last, i // BLOCK) : np.searchsorted(last, (i + n) // BLOCK)] - i // BLOCK
             r[own, BLOCK - self.reach + 1 :] = -np.inf
+            top = block_tops(r)
+            best.append(top)
             if where:
-                k = r.argmax(1)
+                k = BLOCK - block_tops((r == top[:, None]).view(np.uint8) * COUNTDOWN).astype(np.int64)  # the first of the largest
                 at.append(k + (i + BLOCK * np.arange(len(k)))[:, None])
-                best.append(np.take_along_axis(r, k[:, None, :], 1)[:, 0])
-            else:
-                best.append(r.max(1))
         return np.maximum(np.concatenate(best) + self.bias, 0), np.concatenate(at) if where else None
 
 
+def block_tops(a: np.ndarray) -> np.ndarray:
+    """The maximum over axis 1 of BLOCK, by halves: long runs, which numpy's own max and argmax over such an axis don't make."""
+    while a.shape[1] > 1:
+        half = a.shape[1] // 2
+        a = np.maximum(a[:, :half], a[:, half:])
+    return a[:, 0]
+
+
 def chunk_bounds(first: np.ndarray, blocks: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end block of each chunk, and each text's first chunk.
 
