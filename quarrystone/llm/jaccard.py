@@ -10,18 +10,22 @@ Documents of equal sets are one node, named by a hash of the set.
    nodes fall in size classes; a node near a border is replicated into the
    class below (a window), where it may meet smaller partners.
 3. Regions.  In a class whose linked pairs differ in at most K shingles, each set
-   is dealt by hash into K + 1 + SPARE slices.  Linked sets then agree on at least
-   1 + SPARE slices, so each may leave out its SPARE weakest ones (fewest
-   shingles) and still agree on one that both show.  The least node that shows
-   a slice is the pivot of all nodes that do; a pivot and its nodes are a region.
+   is dealt by hash into K + 1 + spare slices.  Linked sets then agree on at least
+   1 + spare slices, so each may leave out its spare weakest ones (fewest
+   shingles) and still agree on one that both show.  A quarter of K is spare: a set
+   has fewer empty slices than that, which would make a region of texts that have nothing in
+   common.  The least node that shows a slice is the pivot of all nodes that do; a
+   pivot and its nodes are a region.
 4. Sketches.  A set's counts in hash ranges are a contraction: two sets' counts
    differ (summed) by at most the number of shingles in which the sets differ.  A region
    falls into groups of nodes that are near enough by sketch, before texts are moved;
-   nodes alone leave.
+   nodes alone leave.  A region over SKETCHED nodes is dealt into blocks, and its groups
+   are joined from those of each pair of blocks.
 5. In a region, distances to a pivot order the nodes, and by the triangle
    inequality only nodes whose distances differ by at most the threshold's are
-   compared, exactly.  A region over REGION nodes is dealt into blocks and joined
-   block by block.
+   compared, exactly.  A region over REGION nodes is dealt into blocks; each is joined
+   by itself with the pivot.  What is then in one component with most of the region isn't
+   compared any more with its like, only with the rest, block by block.
 
 Links leave a region as a spanning forest, never as all pairs; connected
 components join the forests.  (Voronoi regions around pivots by the Jaccard
@@ -36,15 +40,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import connected_components, map_arrow, possibly_in, written
 from .words import U, mix64, range_hash, rolling_hash, slices
 
-#: Slices that every linked pair agrees on beyond one.
-SPARE = 3
+#: Slices that every linked pair agrees on beyond one: so many at least, and that share of the shingles in which it may differ.
+SPARE, SPARE_SHARE = 3, 4
 #: Ratio of a size class's borders.
 RATIO = 1.6
 #: Nodes of a block of a region; a task holds two blocks.
@@ -53,7 +57,7 @@ REGION = 512
 SMALL = 64
 #: Nodes that a task remembers having shown.
 SHOWN = 1 << 20
-#: Nodes of a region compared by sketch in one task; of a larger region all nodes stay.
+#: Nodes of a region compared by sketch at once; a larger region is dealt into blocks of half as many.
 SKETCHED = 2048
 
 
@@ -77,8 +81,8 @@ def border(k: int) -> int:
 
 
 @cache
-def schemes(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
-    """(class, slices) of each class in which a set of n shingles can meet a smaller or equal partner's class.
+def schemes(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
+    """(class, slices, spare ones) of each class in which a set of n shingles can meet a smaller or equal partner's class.
 
     Classes whose linked sets must be equal need no slices.
     """
@@ -89,7 +93,8 @@ def schemes(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
     while k >= 0 and (border(k + 1) - 1) * den >= num * n:
         differ = (border(k + 1) - 1) * (den - num) // num
         if differ:
-            out.append((k, differ + 1 + SPARE))
+            spare = max(SPARE, differ // SPARE_SHARE)
+            out.append((k, differ + 1 + spare, spare))
         k -= 1
     return tuple(out)
 
@@ -104,11 +109,11 @@ def slice_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the slices that a set shows, over its classes."""
     out = []
     total = np.concatenate([np.zeros(1, U), np.cumsum(mix64(s + U(0x9E3779B97F4A7C15)))])
-    for k, m in schemes(len(s), num, den):
+    for k, m, spare in schemes(len(s), num, den):
         at = np.append(np.searchsorted(s, edges(m)), len(s))
         count = np.diff(at)
         key = mix64(total[at[1:]] - total[at[:-1]] + mix64(np.arange(m, dtype=U) + U(k << 32)) + count.astype(U))
-        out.append(key[np.lexsort((key, count))[SPARE:]])
+        out.append(key[np.lexsort((key, count))[spare:]])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -124,7 +129,7 @@ def near_groups(sketches: list[np.ndarray], size: np.ndarray, num: int, den: int
     Longer sketches are folded to the shortest's ranges; told counts of 255 make a difference smaller, never larger.
     """
     width = min(map(len, sketches))
-    x = np.stack([np.minimum(k.reshape(width, -1).sum(1, dtype=np.int64), 255) for k in sketches]).astype(np.int16)
+    x = np.stack([np.minimum(k.reshape(width, -1).sum(1, dtype=np.int64), 255).astype(np.int16) for k in sketches])
     order = np.argsort(size, kind="stable")
     x, size = x[order], size[order]
     root = np.arange(len(x))
@@ -152,7 +157,7 @@ def near_groups(sketches: list[np.ndarray], size: np.ndarray, num: int, den: int
 def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
     """(pivot, node) of the groups of two and more nodes that a region falls into by sketch; rows have n and sketch too.
 
-    The pivot is now the least node of the group.
+    The pivot is now the least node of the group.  What is compared at once is named by the column ``region``.
     """
 
     def run(batches):
@@ -168,7 +173,7 @@ def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
 
         last = None
         for batch in batches:
-            for p, c, n, k in zip(*(batch.column(x).to_pylist() for x in ("pivot", "node", "n", "sketch")), strict=True):
+            for p, c, n, k in zip(*(batch.column(x).to_pylist() for x in ("region", "node", "n", "sketch")), strict=True):
                 if p != pivot:
                     if (out := flush()) is not None:
                         yield out
@@ -182,7 +187,17 @@ def _near_nodes(region: DataFrame, num: int, den: int) -> DataFrame:
         if (out := flush()) is not None:
             yield out
 
-    return region.select("pivot", "node", "n", "sketch").repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(run, "pivot long, node long")
+    return region.select("region", "node", "n", "sketch").repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "pivot long, node long")
+
+
+def _near_in_large(region: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
+    """_near_nodes of regions (pivot, node, nodes) of too many ``nodes`` to compare at once: pairs of blocks, whose groups are joined."""
+    blocks = F.ceil(F.col("nodes") * 2 / SKETCHED).cast("int")
+    dealt = region.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = pairs.withColumn("region", F.format_string("%d:%d:%d", "pivot", F.least("block", "other"), F.greatest("block", "other")))
+    groups = _near_nodes(named.select("region", "node").join(drawn.select("node", "n", "sketch"), "node"), num, den)
+    return connected_components(groups, "pivot", "node").select(F.col("root").alias("pivot"), "node")
 
 
 def kept_below(n: int, num: int, den: int) -> int:
@@ -424,21 +439,44 @@ def _forests(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return members.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "a long, b long")
 
 
-def _tiles(region: DataFrame) -> DataFrame:
-    """(node, tile): what a task compares.
+def _tiles(region: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, tile): what a task compares at first; (pivot, node) of the regions of which that is a part only.
 
     Regions that share nodes are compared together, each node once, where they have at most REGION nodes in
-    all.  The others stay apart; one of more nodes is dealt into blocks, and each pair of blocks is a tile.
+    all.  The others stay apart; one of more nodes is dealt into blocks, and each block is a tile, with the pivot.
     """
     joined = connected_components(region.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     joined = written(joined, "joined")
     sized = written(joined.join(joined.groupBy("root").agg(F.count("*").alias("size")), "root"), "sized")
     together = sized.where(F.col("size") <= REGION).select("node", F.col("root").cast("string").alias("tile"))
     apart = region.join(sized.where(F.col("size") > REGION).select(F.col("node").alias("pivot")), "pivot", "left_semi")
-    blocks = apart.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
-    dealt = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return together.unionByName(pairs.select("node", F.format_string("%d:%d:%d", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("tile")))
+    dealt = written(apart.join(apart.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks")), "pivot"), "dealt")
+    block = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block("blocks")))
+    tiles = dealt.withColumn("block", F.explode(block)).select("node", F.format_string("%d:%d", "pivot", "block").alias("tile"))
+    return together.unionByName(tiles), dealt.where(F.col("blocks") > 1).select("pivot", "node")
+
+
+def _block(blocks: str) -> Column:
+    """The block of a node, of so many."""
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def _tiles_of_rest(region: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, tile): what is still to be compared in regions (pivot, node), after ``links`` (a, b) were found.
+
+    Of a region's nodes most are in one component already, which needs no more links between them.  Blocks of the
+    others are compared with each other and with blocks of these.
+    """
+    placed = region.join(connected_components(links), "node", "left").select("pivot", "node", F.coalesce("root", "node").alias("root"))
+    count = placed.groupBy("pivot", "root").count()
+    main = count.groupBy("pivot").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all")).where(F.col("all") > F.col("most"))
+    blocks = main.select("pivot", "main", F.ceil(F.col("most") / REGION).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("most")) / REGION).cast("int").alias("outer"))
+    split = written(placed.join(blocks, "pivot").withColumn("rest", F.col("root") != F.col("main")), "split")
+    rest = split.where("rest").withColumn("block", _block("outer"))
+    among = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).select("node", F.format_string("%d:%d:%d", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
+    out = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("inner") - 1))).select("node", F.format_string("%d:%d:main %d", "pivot", "block", "other").alias("tile"))
+    inner = split.where("not rest").withColumn("block", _block("inner")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
+    return among.unionByName(out).unionByName(inner.select("node", F.format_string("%d:%d:main %d", "pivot", "other", "block").alias("tile")))
 
 
 def components(documents: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -455,12 +493,21 @@ def components(documents: DataFrame, width: int = 3, num: int = 90, den: int = 1
     shown = drawn.select(F.explode("slices").alias("slice"), "node")
     pivots = shown.groupBy("slice").agg(F.min("node").alias("pivot"), F.max("node").alias("__last")).where("pivot < __last").drop("__last")
     region = written(shown.join(pivots, "slice").select("pivot", "node").distinct(), "shown")
-    large = written(region.groupBy("pivot").count().where(F.col("count") > SKETCHED).select("pivot"), "large")
-    near = _near_nodes(region.join(large, "pivot", "left_anti").join(drawn.select("node", "n", "sketch"), "node"), num, den)
-    tiles = _tiles(written(near.unionByName(region.join(large, "pivot", "left_semi")).distinct(), "regions"))
-    members = drawn.select("node", "text").join(tiles, "node").select("tile", "node", "text")
+    large = written(region.groupBy("pivot").agg(F.count("*").alias("nodes")).where(F.col("nodes") > SKETCHED), "large")
+    near = _near_nodes(region.withColumnRenamed("pivot", "region").join(large.select(F.col("pivot").alias("region")), "region", "left_anti").join(drawn.select("node", "n", "sketch"), "node"), num, den)
+    if not large.isEmpty():
+        near = near.unionByName(_near_in_large(region.join(large, "pivot"), drawn, num, den))
+
+    def links(tiles: DataFrame) -> DataFrame:
+        members = drawn.select("node", "text").join(tiles, "node").select("tile", "node", "text")
+        return written(_forests(members, width, num, den), "links")
+
+    tiles, more = _tiles(written(near.distinct(), "regions"))
+    linked = links(tiles)
+    if not more.isEmpty():
+        linked = linked.unionByName(links(_tiles_of_rest(more, linked)))
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    found = connected_components(_forests(members, width, num, den))
+    found = connected_components(linked)
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.join(least, "root").select("node", "component_id")

@@ -343,6 +343,30 @@ def test_large_regions_are_dealt_into_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_unrelated_sets_show_no_common_slice(num, den):
+    """An empty slice would be common to all sets of a size class."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(150, 5000, 400)
+    keys = np.concatenate([np.unique(jaccard.slice_keys(np.unique(rng.integers(0, 2**64, n, np.uint64)), num, den)) for n in sizes])
+    assert len(np.unique(keys)) == len(keys)
+
+
+def test_large_groups_move_texts_a_few_times(spark, monkeypatch):
+    """Distinct near copies of one text, some too far from most others, and a text of their own size class."""
+    monkeypatch.setattr(jaccard, "REGION", 16)
+    monkeypatch.setattr(jaccard, "SKETCHED", 32)
+    moved, forests = [], jaccard._forests
+    monkeypatch.setattr(jaccard, "_forests", lambda members, *a: moved.append(members.count()) or forests(members, *a))
+    rng = random.Random(10)
+    base = [f"t{i}" for i in range(200)]
+    rows = [(k, " ".join(f"n{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base))) for k in range(400) for at in [rng.sample(range(200), rng.randrange(1, 3) if k % 50 else 12)]]
+    rows += [(400 + k, " ".join(f"o{k // 2} {w}" if i == 7 * k else w for i, w in enumerate(base[::-1]))) for k in range(6)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 3, 90, 100)
+    assert sum(moved) < 5 * len(rows)
+
+
 def test_sketches_never_part_linked_sets():
     rng = np.random.default_rng(4)
     for n in (3, 20, 200, 3000):
