@@ -225,8 +225,7 @@ def k8_j13_n5_compact(s):
 @query()
 def k9_m9_crc_index(s):
     """Every index row with the CRC-32C of its payload, read from the pack files."""
-    records = pack_files.read_records(s.spark, written_packs(s))
-    return records.select("pack_id", "offset", "hash", codecs.crc32c("payload").alias("crc"))
+    return pack_files.read_checksums(s.spark, written_packs(s)).select("pack_id", "offset", "hash", "crc")
 
 
 SIZES_SQL = """, reach AS (SELECT d.name AS top, d.ino, d.kind FROM dirents d WHERE parent = 1 UNION ALL SELECT r.top, d.ino, d.kind FROM reach r JOIN dirents d ON d.parent = r.ino WHERE r.kind = 2),

@@ -4,6 +4,7 @@ import errno
 import json
 import os
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrystone import catalog
 from quarrystone.config import Settings, refused_setting
 from quarrystone.control import Control, parse
-from quarrystone.functions import cdc
+from quarrystone.functions import cdc, codecs
 from quarrystone.operators import blocks, coalesce, dedup, dml, gc, handles, namespace, order, packs, reads, vault
 from quarrystone.plans import collection, repack, session
 from quarrystone.sources import pack_files, permissions, store, tables
@@ -252,6 +253,34 @@ def test_pack_files_round_trip(spark, tmp_path):
     assert rows(pack_files.read_records(spark, str(tmp_path)).where("pack_id = 1"), "hash") == [("0a" * 16,)]
 
 
+def test_packs_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """No file is held whole: Spark, which refuses to hold more than 50 bytes of one here, only lists them."""
+    records = spark.range(300).selectExpr("1L + id % 2 as pack_id", "id as seq", "cast('VPK2' as binary) as magic", "md5(cast(id as string)) as hash", "0 as codec", "9L as ulen", "cast(repeat(cast(id as string), cast(id % 40 as int)) as binary) as payload")
+    root = str(tmp_path / "a b%20")
+    pack_files.write_packs(records, root).collect()
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "50")
+    try:
+        got = pack_files.read_records(spark, root).join(records.withColumnRenamed("payload", "own"), ["pack_id", "hash"])
+        assert rows(got.groupBy(F.expr("payload = own and clen = length(own)").alias("same")).count(), "same", "count") == [(True, 300)]
+        crcs = pack_files.read_checksums(spark, root).join(records.select("pack_id", "hash", codecs.crc32c("payload").alias("own")), ["pack_id", "hash"])
+        assert rows(crcs.groupBy(F.expr("crc = own").alias("same")).count(), "same", "count") == [(True, 300)]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+    raw = Path(root, pack_files.pack_name(1)).read_bytes()
+    took = []
+
+    class File:
+        def read_at(self, n, at):
+            took.append(n)
+            return raw[at : at + n]
+
+    monkeypatch.setattr(pack_files, "READ_BYTES", 64)
+    found = list(pack_files.walk(File(), len(raw), True))
+    assert len(found) == 150 and max(took) == 32 + max(len(x[-1]) for x in found) < 160
+    assert b"".join(pack_files.encode_header(bytes.fromhex(h), codec, ulen, clen, magic) + payload for _, magic, h, codec, ulen, clen, payload in found) == raw
+
+
 def test_chunk_counts_are_those_of_plain_chunking(spark):
     files = {r.ino: r.text for r in store.Store(spark, "/root/testdata/sf0.001").files.collect()}
     got = dict(rows(catalog.QUERIES["p2_cdc_chunk_counts"](spark, "/root/testdata/sf0.001"), "ino", "chunks"))
