@@ -66,22 +66,31 @@ def problem(rows: DataFrame, when: Column, code: int) -> DataFrame:
     return rows.where(when).select(F.lit(code).alias("code"), "name")
 
 
+def found(names: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``names`` with the rows of a table that have their keys, or nulls.
+
+    The table, which may look small enough to be broadcast, never goes through the driver: it is cut to the keys first (there
+    only the keys can be broadcast), then merged.
+    """
+    return names.join(table.join(names.select(*keys), keys, "left_semi").hint("merge"), keys, "left")
+
+
 def in_writable_folder(names: DataFrame, inodes: DataFrame) -> list[DataFrame]:
     """Problems of names (parent, name) whose parent is missing, no directory or read-only."""
     own = inodes.select(F.col("ino").alias("parent"), F.col("kind").alias("__kind"), F.col("flags").alias("__flags"))
-    rows = names.select("parent", "name").join(own, "parent", "left")
+    rows = found(names.select("parent", "name"), own, ["parent"])
     readonly = F.col("__flags").bitwiseAND(FLAG_READONLY) != 0
     return [problem(rows, F.col("__kind").isNull(), errno.ENOENT), problem(rows, F.col("__kind") != KIND_DIR, errno.ENOTDIR), problem(rows, readonly, errno.EROFS)]
 
 
 def new_names(names: DataFrame, t: Tables) -> list[DataFrame]:
     """Problems of names (parent, name) that are to be added: bad ones, repeated ones, those that a live entry has."""
-    live = t.dirents.join(t.inodes.select("ino"), "ino", "left_semi").select("parent", "name")
+    live = t.dirents.join(names.select("parent", "name"), ["parent", "name"], "left_semi").join(t.inodes.select("ino").hint("merge"), "ino", "left_semi").select("parent", "name")
     repeated = names.groupBy("parent", "name").agg(F.count("*").alias("n"))
     return [
         problem(names, ~valid_name("name"), errno.EINVAL),
         problem(repeated, F.col("n") > 1, errno.EEXIST),
-        problem(names.join(live, ["parent", "name"], "left_semi"), F.lit(True), errno.EEXIST),
+        problem(names.join(live.hint("merge"), ["parent", "name"], "left_semi"), F.lit(True), errno.EEXIST),
         *in_writable_folder(names, t.inodes),
     ]
 
@@ -93,8 +102,8 @@ def with_names(t: Tables, new: DataFrame) -> DataFrame:
 
 def targets(t: Tables, names: DataFrame) -> DataFrame:
     """Entries of names (parent, name) with their inode's kind, flags and nlink; all null where there is none."""
-    entries = names.select("parent", "name").distinct().join(t.dirents.select("parent", "name", "ino"), ["parent", "name"], "left")
-    return entries.join(t.inodes.select("ino", F.col("kind").alias("__kind"), F.col("flags").alias("__flags"), F.col("nlink").alias("__nlink")), "ino", "left")
+    entries = found(names.select("parent", "name").distinct(), t.dirents.select("parent", "name", "ino"), ["parent", "name"])
+    return found(entries, t.inodes.select("ino", F.col("kind").alias("__kind"), F.col("flags").alias("__flags"), F.col("nlink").alias("__nlink")), ["ino"])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,8 +114,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def create(t: Tables, new: DataFrame, now: int) -> Tables:
     """Adds (parent, name, ino, kind, perm, uid, gid).  A directory's parent gains a link and a new mtime; a vault's children belong to it."""
     inos = new.groupBy("ino").agg(F.count("*").alias("n"), F.min("name").alias("name"))
-    refuse(*new_names(new, t), problem(inos, F.col("n") > 1, errno.EEXIST), problem(new.join(t.inodes.select("ino"), "ino", "left_semi"), F.lit(True), errno.EEXIST))
-    flags = t.inodes.select(F.col("ino").alias("parent"), F.col("flags").bitwiseAND(FLAG_VAULT).alias("flags"))
+    refuse(*new_names(new, t), problem(inos, F.col("n") > 1, errno.EEXIST), problem(new.join(t.inodes.select("ino").hint("merge"), "ino", "left_semi"), F.lit(True), errno.EEXIST))
+    flags = t.inodes.select(F.col("ino").alias("parent"), F.col("flags").bitwiseAND(FLAG_VAULT).alias("flags")).join(new.select("parent"), "parent", "left_semi").hint("merge")
     links = F.when(F.col("kind") == KIND_DIR, 2).otherwise(1)
     made = new.join(flags, "parent").selectExpr("ino", "cast(kind as int) as kind", "cast(perm as int) as perm", "uid", "gid").withColumn("nlink", links.cast("bigint"))
     made = made.join(new.join(flags, "parent").select("ino", "flags"), "ino").withColumn("size", F.lit(0).cast("bigint")).withColumn("mtime", F.lit(now).cast("bigint"))
@@ -126,7 +135,7 @@ def symlink(t: Tables, new: DataFrame, now: int) -> Tables:
 
 def link(t: Tables, new: DataFrame) -> Tables:
     """Adds names (parent, name, ino) of files and symbolic links; directories are refused."""
-    of = new.join(t.inodes.select("ino", F.col("kind").alias("__kind"), F.col("flags").alias("__flags")), "ino", "left")
+    of = found(new, t.inodes.select("ino", F.col("kind").alias("__kind"), F.col("flags").alias("__flags")), ["ino"])
     bad = [problem(of, F.col("__kind").isNull(), errno.ENOENT), problem(of, F.col("__kind") == KIND_DIR, errno.EPERM), problem(of, F.col("__flags").bitwiseAND(FLAG_READONLY) != 0, errno.EROFS)]
     refuse(*new_names(new, t), *bad)
     more = new.groupBy("ino").agg(F.count("*").alias("__more"))
@@ -144,7 +153,8 @@ def unlink(t: Tables, names: DataFrame, held_open: DataFrame | None = None) -> T
     refuse(problem(at, F.col("ino").isNull(), errno.ENOENT), problem(at, F.col("__kind") == KIND_DIR, errno.EISDIR), problem(at, readonly, errno.EROFS), *in_writable_folder(names, t.inodes))
     fewer = at.groupBy("ino").agg(F.count("*").alias("__less"))
     left = t.inodes.join(fewer, "ino", "left").withColumn("nlink", F.greatest(F.col("nlink") - F.coalesce("__less", F.lit(0)), F.lit(0)))
-    dead = left.where("__less is not null and nlink = 0").select("ino")
+    # from the few entries, as an inner join with all inodes might broadcast these
+    dead = at.where("__kind is not null").groupBy("ino", "__nlink").agg(F.count("*").alias("__less")).where("greatest(__nlink - __less, 0) = 0").select("ino")
     if held_open is not None:
         dead = dead.join(held_open, "ino", "left_anti")
     dirents = t.dirents.join(names.select("parent", "name"), ["parent", "name"], "left_anti").select(*t.dirents.columns)
@@ -159,14 +169,15 @@ def purge_closed(t: Tables, held_open: DataFrame | None = None) -> Tables:
 
 def children(t: Tables, folders: DataFrame) -> DataFrame:
     """(ino, __n) of those directories that hold entries with an inode; others don't count."""
-    live = t.dirents.join(t.inodes.select("ino"), "ino", "left_semi").select(F.col("parent").alias("ino"))
-    return live.join(folders.select("ino"), "ino", "left_semi").groupBy("ino").agg(F.count("*").alias("__n"))
+    within = t.dirents.join(folders.select(F.col("ino").alias("parent")), "parent", "left_semi")
+    live = within.join(t.inodes.select("ino").hint("merge"), "ino", "left_semi").select(F.col("parent").alias("ino"))
+    return live.groupBy("ino").agg(F.count("*").alias("__n"))
 
 
 def rmdir(t: Tables, names: DataFrame, now: int) -> Tables:
     """Removes empty directories (parent, name); entries in them whose inode is lost go too."""
     at = targets(t, names)
-    full = at.join(children(t, at), "ino", "left_semi")
+    full = at.join(children(t, at).hint("merge"), "ino", "left_semi")
     readonly = F.col("__flags").bitwiseAND(FLAG_READONLY) != 0
     refuse(problem(at, F.col("__kind").isNull(), errno.ENOENT), problem(at, F.col("__kind") != KIND_DIR, errno.ENOTDIR), problem(at, readonly, errno.EROFS), problem(full, F.lit(True), errno.ENOTEMPTY), *in_writable_folder(names, t.inodes))
     dirents = t.dirents.join(names.select("parent", "name"), ["parent", "name"], "left_anti").join(at.select(F.col("ino").alias("parent")), "parent", "left_anti")
@@ -176,7 +187,7 @@ def rmdir(t: Tables, names: DataFrame, now: int) -> Tables:
 
 def _one(t: Tables, place: tuple[int, str]):
     """The entry at (parent, name) with its inode's kind, flags and nlink, or None."""
-    here = t.dirents.where((F.col("parent") == place[0]) & (F.col("name") == place[1])).select("parent", "name", "kind")
+    here = F.broadcast(t.dirents.where((F.col("parent") == place[0]) & (F.col("name") == place[1])).select("parent", "name", "kind"))
     row = targets(t, here).first()
     if row is not None and row["__kind"] is None:
         raise Refused(errno.ENOENT, "the inode is lost", place[1])
@@ -195,7 +206,7 @@ def _moved(t: Tables, to: dict[tuple[int, str], tuple[int, str]]) -> DataFrame:
 
 
 def _places(t: Tables, *places: tuple[int, str]) -> DataFrame:
-    names = t.dirents.sparkSession.createDataFrame([*places], "parent long, name string")
+    names = F.broadcast(t.dirents.sparkSession.createDataFrame([*places], "parent long, name string"))
     refuse(problem(names, ~valid_name("name"), errno.EINVAL), *in_writable_folder(names, t.inodes))
     return names
 
@@ -221,7 +232,7 @@ def rename(t: Tables, source: tuple[int, str], target: tuple[int, str], now: int
             return t
         if folder != (new["__kind"] == KIND_DIR):
             raise Refused(errno.ENOTDIR if folder else errno.EISDIR, "the target is of another kind", target[1])
-        at = spark.createDataFrame([(*target, new.ino)], "parent long, name string, ino long")
+        at = F.broadcast(spark.createDataFrame([(*target, new.ino)], "parent long, name string, ino long"))
         if folder:
             t = rmdir(t, at, now)
         else:
@@ -253,7 +264,7 @@ def set_attributes(inodes: DataFrame, changes: DataFrame) -> DataFrame:
 def set_xattr(xattrs: DataFrame, new: DataFrame, mode: str = "any") -> DataFrame:
     """Attributes with (ino, name, value) set; mode ``create`` fails where one exists, ``replace`` where none does."""
     old = xattrs.select("ino", "name", F.lit(True).alias("__old"))
-    rows = new.join(old, ["ino", "name"], "left")
+    rows = found(new, old, ["ino", "name"])
     bad = F.col("__old").isNotNull() if mode == "create" else F.col("__old").isNull() if mode == "replace" else F.lit(False)
     rows = rows.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit(f"{mode}: "), F.col("name")))).otherwise(F.col("value")))
     return upsert(xattrs, rows.select("ino", "name", "value"), ["ino", "name"])

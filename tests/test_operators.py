@@ -119,6 +119,17 @@ def refused(code, change, *args, **more):
     assert e.value.errno == code
 
 
+def test_whole_tables_are_not_broadcast(spark, small):
+    """Tables that look small in Parquet may be large as rows: changes of a few names send none of them through the driver."""
+    t = small.stored()
+    ask = spark.createDataFrame([(1, "g", 4)], "parent long, name string, ino long")
+    new = names(spark, (1, "n", 50, 2, 420, 0, 0))
+    gone = dml.unlink(t, ask)
+    changed = [*(getattr(gone, n) for n in ("dirents", "inodes", "extents", "deltas")), dml.create(t, new, 5).inodes, dml.link(t, ask.withColumn("name", F.lit("n"))).dirents, dml.rmdir(t, ask.withColumn("name", F.lit("e")), 5).inodes]
+    for df in (dml.targets(t, ask), *dml.in_writable_folder(ask, t.inodes), *dml.new_names(ask, t), dml.children(t, ask), *changed):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def links(t):
     return {r.ino: r.nlink for r in t.inodes.collect()}
 
