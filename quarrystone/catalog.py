@@ -95,7 +95,7 @@ def s6_index_scan(s):
 def s7_verify_headers(s):
     """The headers of all pack files, some of which have another magic; a file is read up to the first of these."""
     spoiled = s.pack_index.withColumn("magic", F.when(F.col("hash").like("f0%"), F.lit(b"XXXX")).otherwise(F.lit(PACK_MAGIC)))
-    return pack_files.bad_headers(pack_files.read_records(s.spark, written_packs(s, spoiled)))
+    return pack_files.bad_headers(pack_files.read_headers(s.spark, written_packs(s, spoiled)))
 
 
 @query("SELECT hash, pack_id, CASE WHEN hash LIKE 'd2%' THEN 'index clen' WHEN hash LIKE 'e3%' THEN 'no index entry' WHEN hash LIKE 'f4%' THEN 'codec' END AS problem, CASE WHEN hash LIKE 'd2%' OR hash LIKE 'e3%' OR hash LIKE 'f4%' THEN 0 ELSE clen END AS bytes FROM chunks")

@@ -132,6 +132,11 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
     return _scanned(spark, root, ("payload", pa.binary(), list))
 
 
+def read_headers(spark: SparkSession, root: str) -> DataFrame:
+    """As ``read_records``, without the payloads: longer ones are passed over in the file, and none is kept."""
+    return _scanned(spark, root, None)
+
+
 def read_checksums(spark: SparkSession, root: str) -> DataFrame:
     """As ``read_records``, with the CRC-32C of each payload (crc) in its place: made where the file is read, so no payload leaves its task."""
     return _scanned(spark, root, ("crc", pa.int64(), lambda payloads: crc32c_many(payloads).tolist()))

@@ -274,6 +274,8 @@ def test_packs_are_read_in_parts(spark, tmp_path, monkeypatch):
         got = pack_files.read_records(spark, root).join(records.withColumnRenamed("payload", "own"), ["pack_id", "hash"])
         assert rows(got.groupBy(F.expr("payload = own and clen = length(own)").alias("same")).count(), "same", "count") == [(True, 300)]
         crcs = pack_files.read_checksums(spark, root).join(records.select("pack_id", "hash", codecs.crc32c("payload").alias("own")), ["pack_id", "hash"])
+        assert rows(pack_files.read_headers(spark, root), "pack_id", "offset", "hash", "clen") == rows(pack_files.read_records(spark, root), "pack_id", "offset", "hash", "clen")
+        assert "payload" not in pack_files.read_headers(spark, root).columns
         assert rows(crcs.groupBy(F.expr("crc = own").alias("same")).count(), "same", "count") == [(True, 300)]
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
