@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,26 +17,34 @@ from ..config import VAULT_DOMAIN
 RAW, ZSTD = 0, 1
 
 
-def hash128_bytes(data: bytes, domain: int | None = None) -> bytes:
+def hash128_bytes(data: bytes | pa.Buffer, domain: int | None = None) -> bytes:
     """XXH3-128 as 16 little-endian bytes; a domain byte goes before the data."""
     import xxhash
 
-    own = data if domain is None else bytes([domain]) + data
-    return xxhash.xxh3_128_intdigest(own).to_bytes(16, "little")
+    if domain is None:
+        return xxhash.xxh3_128_intdigest(data).to_bytes(16, "little")
+    own = xxhash.xxh3_128(bytes([domain]))
+    own.update(data)
+    return own.intdigest().to_bytes(16, "little")
 
 
-@F.pandas_udf(T.BinaryType())
-def hash128(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else hash128_bytes(b))
+@F.arrow_udf(T.BinaryType())
+def _hash128(data: pa.Array, domain: pa.Array) -> pa.Array:
+    """Hashes the data where Arrow holds them; hashes of one column in several domains get it once."""
+    return pa.array([None if b.as_buffer() is None else hash128_bytes(b.as_buffer(), d) for b, d in zip(data, domain.to_pylist(), strict=True)], pa.binary())
+
+
+def hash128(data: Column) -> Column:
+    return _hash128(data, F.lit(None).cast("int"))
 
 
 def hash128_with_domain(data: Column, domain: int) -> Column:
-    return hash128(F.concat(F.lit(bytes([domain])), data))
+    return _hash128(data, F.lit(domain))
 
 
 def hash_for(data: Column, is_vault: Column) -> Column:
     """Vault content never shares a hash with other content."""
-    return hash128(F.when(is_vault, F.concat(F.lit(bytes([VAULT_DOMAIN])), data)).otherwise(data))
+    return _hash128(data, F.when(is_vault, F.lit(VAULT_DOMAIN)))
 
 
 @cache

@@ -60,6 +60,16 @@ def test_hash_domains():
     assert len(codecs.hash128_bytes(b"")) == 16
 
 
+def test_hashes_of_a_column_get_it_once(spark):
+    df = spark.createDataFrame([(bytearray(b"abc"), True), (bytearray(b""), False), (None, True)], "d binary, v boolean")
+    got = df.select("d", "v", codecs.hash128("d").alias("a"), codecs.hash128_with_domain(F.col("d"), 7).alias("b"), codecs.hash_for(F.col("d"), F.col("v")).alias("c"))
+    for r in got.collect():
+        want = [None] * 3 if r.d is None else [codecs.hash128_bytes(b"".join((x, r.d))) for x in (b"", b"\x07", b"\xa7" if r.v else b"")]
+        assert [r.a, r.b, r.c] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "concat" not in plan  # no copies of the data with their domains
+
+
 def test_crc32c():
     assert codecs.crc32c_many([b"123456789", b"", b"a" * 100, b"123456789"]).tolist()[::3] == [0xE3069283] * 2
     assert codecs.crc32c_many([b""]).tolist() == [0]
