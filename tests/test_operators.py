@@ -275,6 +275,9 @@ def test_packs_are_read_in_parts(spark, tmp_path, monkeypatch):
         assert rows(got.groupBy(F.expr("payload = own and clen = length(own)").alias("same")).count(), "same", "count") == [(True, 300)]
         crcs = pack_files.read_checksums(spark, root).join(records.select("pack_id", "hash", codecs.crc32c("payload").alias("own")), ["pack_id", "hash"])
         assert rows(pack_files.read_headers(spark, root), "pack_id", "offset", "hash", "clen") == rows(pack_files.read_records(spark, root), "pack_id", "offset", "hash", "clen")
+        index = pack_files.read_records(spark, root).drop("payload")
+        checked = pack_files.read_payloads(index.where("clen > 0"), index, pack_files.read_records(spark, root)).join(records.select("pack_id", "hash", "payload").withColumnRenamed("payload", "own"), ["pack_id", "hash"])
+        assert rows(checked.groupBy(F.expr("problem is null and payload = own").alias("same")).count(), "same", "count") == [(True, 292)]
         assert "payload" not in pack_files.read_headers(spark, root).columns
         assert rows(crcs.groupBy(F.expr("crc = own").alias("same")).count(), "same", "count") == [(True, 300)]
     finally:
